@@ -55,8 +55,8 @@ def candidates(docs: DataFrame, owner: str, repo: str) -> DataFrame:
 
 def ownership(found_in: DataFrame) -> DataFrame:
     """Per hash of a value the numbers of distinct repositories and owners that hold it."""
-    each = found_in.select(F.explode(F.concat("_base", "_more")).alias("s"), "_owner", "_repo").select(F.sha2(F.col("s.value"), 256).alias("hash"), "_owner", "_repo")
-    by_owner = each.distinct().groupBy("hash", "_owner").agg(F.count("_repo").alias("repos"))
+    each = found_in.select(F.explode_outer(F.concat("_base", "_more")).alias("s"), "_owner", "_repo").select(F.sha2(F.col("s.value"), 256).alias("hash"), "_owner", "_repo")
+    by_owner = each.where("hash is not null").distinct().groupBy("hash", "_owner").agg(F.count("_repo").alias("repos"))
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count(F.coalesce("_owner", F.lit(""))).alias("owners"))
 
 
@@ -80,7 +80,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_o
         held = cut(held)
     small = held.where(some).select("_key", "_base", "_more", "_owner", "_repo")
     lists = small.groupBy("_key").agg(F.first("_base").alias("b"), F.first("_more").alias("m"))
-    spans = lists.select("_key", F.explode(F.concat("b", "m")).alias("s")).withColumn("hash", F.sha2(F.col("s.value"), 256))
+    spans = lists.select("_key", F.explode_outer(F.concat("b", "m")).alias("s")).withColumn("hash", F.sha2(F.col("s.value"), 256))
     judged = spans.join(ownership(small), "hash").withColumn("example", F.col("owners") >= example_owners)
     verdict = judged.groupBy("_key").agg(
         F.array_sort(F.collect_list(F.when(~F.col("example") | (F.col("s.kind") != "opaque"), F.col("s")))).alias("_all"),
