@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, sharding
+from . import language, mixing, quality, secrets, sharding, simhash
 from .common import table
 
 
@@ -18,8 +18,16 @@ def op4_quality_rules(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language_id(spark, sf_dir):
+    return language.report(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op4_quality_rules, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op4_quality_rules, op6_language_id, op7_simhash, op9_secret_scans)}
