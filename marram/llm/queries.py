@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality, secrets, sharding, simhash
+from . import language, mixing, neighbours, packing, quality, secrets, sharding, simhash
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark, sf_dir):
     return language.report(table(spark, sf_dir, "documents"))
 
@@ -26,8 +30,13 @@ def op7_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op4_quality_rules, op6_language_id, op7_simhash, op9_secret_scans)}
+ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op4_quality_rules, op5_neighbours, op6_language_id, op7_simhash, op8_packing, op9_secret_scans)}
