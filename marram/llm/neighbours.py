@@ -23,8 +23,8 @@ from .common import cut
 
 TREES = 8
 SAMPLE = 8_192
-LEAF = 1_024
-COVER = 0.62
+LEAF = 512
+COVER = 0.74
 BLOCK = 4_096  # rows of a leaf that one group holds, about
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neighbours, packing, quality, secrets, sharding, simhash
+from . import fm_dedup, language, mixing, neighbours, packing, quality, secrets, sharding, simhash, suffix_dedup
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,9 @@ def op9_secret_scans(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark, sf_dir):
+    return fm_dedup.report(table(spark, sf_dir, "documents"))
+
+
 ORACLES: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op4_quality_rules, op5_neighbours, op6_language_id, op7_simhash, op8_packing, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_mixing, op4_quality_rules, op5_neighbours, op6_language_id, op7_simhash, op8_packing, op9_secret_scans, op10_substring_dedup)}
