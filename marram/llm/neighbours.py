@@ -24,7 +24,7 @@ from .common import cut
 TREES = 8
 SAMPLE = 8_192
 LEAF = 512
-COVER = 0.74
+COVER = 0.8
 BLOCK = 4_096  # rows of a leaf that one group holds, about
 
 

@@ -26,6 +26,7 @@ from .common import cut, shuffle_width
 RADIUS = 3
 BLOCKS = 5
 DIRECT = 1024  # members of a bucket that are compared block-wise at once
+BROADCAST_IDS = 100_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -126,9 +127,16 @@ class Forest:
             self.links.append((x, y))
 
 
-def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """A spanning forest of the links (index pairs) among different fingerprints of one bucket, none lost."""
+def bucket_links(fps: np.ndarray, radius: int = RADIUS, every: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links (index pairs) among different fingerprints of one bucket, none lost.
+
+    A bucket of at most ``every`` members returns all its links instead.
+    """
     forest, far = Forest(len(fps)), far_pivots()
+    if len(fps) <= every:
+        coords = np.bitwise_count(fps[:, None] ^ far[None, :4]).astype(np.int16)
+        left, right = near_pairs(fps, fps, coords, coords, radius)
+        return [(x, y) for x, y in zip(left.tolist(), right.tolist(), strict=True) if x < y]
     coords = np.bitwise_count(fps[:, None] ^ far[None, :]).astype(np.int16)
 
     def compare(rows: np.ndarray) -> None:
@@ -160,7 +168,7 @@ def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]
     return forest.links
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every: int = 0) -> DataFrame:
     """(a, b) with a < b: links that connect all different fingerprints (column fp) within the radius."""
     agree = blocks - radius
     chosen = list(combinations(range(blocks), agree))
@@ -195,7 +203,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataF
         got = []
         for i in np.flatnonzero(hi - lo > 1):
             f = fp[lo[i] : hi[i]]
-            got += [(int(f[x]), int(f[y])) for x, y in bucket_links(f.view(np.uint64), radius)]
+            got += [(int(f[x]), int(f[y])) for x, y in bucket_links(f.view(np.uint64), radius, every)]
         if got:
             yield pd.DataFrame({"a": [min(x) for x in got], "b": [max(x) for x in got]})
 
@@ -227,15 +235,46 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def groups(docs: DataFrame, size: int = 3, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def shingle_set(text: str | None, size: int) -> set[bytes]:
+    words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def alike(edges: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """The edges (a, b) whose texts (fp, text) have a shingle Jaccard similarity of at least ``least``."""
+
+    def run(batches):
+        for frame in batches:
+            ok = []
+            for x, y in zip(frame["x"], frame["y"], strict=True):
+                x, y = shingle_set(x, size), shingle_set(y, size)
+                ok.append(len(x & y) >= least * len(x | y))
+            yield frame.loc[ok, ["a", "b"]]
+
+    both = edges.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+
+
+def groups(docs: DataFrame, size: int = 3, radius: int = RADIUS, blocks: int = BLOCKS, least: float | None = None) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links) of every row.
 
-    Null, empty and blank texts have fingerprint 0 and link like any other. Repeated rows share a group. Equal
-    fingerprints are aggregated before anything is dealt, so a group of copies is one node of the search.
+    With ``least``, a link must also reach that Jaccard similarity of the shingles of the two fingerprints'
+    first texts; large buckets then verify the links of their spanning forest. Null, empty and blank texts have
+    fingerprint 0 and link like any other. Repeated rows share a group. Equal fingerprints are aggregated before
+    anything is dealt, so a group of copies is one node of the search.
     """
     fps = cut(fingerprints(docs, size))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    found = components(nodes, links(nodes, radius, blocks))
+    edges = links(nodes, radius, blocks, 0 if least is None else DIRECT // 8)
+    if least is not None:
+        edges = cut(edges)
+        wanted = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("low").alias("doc_id"))
+        wanted = cut(wanted)
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
+        texts = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
+        edges = alike(edges, cut(texts), size, least)
+    found = components(nodes, edges)
     roots = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     return fps.join(roots.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -245,10 +284,13 @@ def report(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The rows, with their columns, that lead their group (component_id = doc_id).
+def keep_first(docs: DataFrame, size: int = 5, radius: int = 8, blocks: int = 10, least: float = 0.8) -> DataFrame:
+    """The rows, with their columns, that lead their group of near-duplicates (component_id = doc_id).
 
-    Of rows that repeat an id, all have one text's fate. Rows without an id stay.
+    Links: five-word shingles, SimHash within ``radius`` bits, then a Jaccard similarity of ``least`` or more.
+    (At a similarity of 0.8 some ten bits of 64 differ on average, so the radius finds the closer part of such
+    pairs; pairs of 0.95 and more differ in about five.) Rows that repeat an id share its fate. Rows without an id
+    stay.
     """
-    got = groups(docs.where("doc_id is not null"), size, radius).where("doc_id <> component_id").select("doc_id").distinct()
+    got = groups(docs.where("doc_id is not null"), size, radius, blocks, least).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(got, "doc_id", "left_anti").select(*docs.columns)
