@@ -108,7 +108,7 @@ class FMIndex:
         return out
 
 
-def search(generations: list[tuple[list[bytes], np.ndarray]]) -> list[list[np.ndarray]]:
+def search(generations: list[tuple[list[bytes], np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """One index over all generations; a window's answer is the smallest id of the whole shard."""
     numbers: dict[bytes, int] = {}
     known: dict[bytes, int] = {}
@@ -125,7 +125,11 @@ def search(generations: list[tuple[list[bytes], np.ndarray]]) -> list[list[np.nd
     text = np.concatenate([x for s in seqs for x in (s, stop)])
     ids = np.repeat(np.array(lows, np.int64), [len(s) + 1 for s in seqs])
     found = FMIndex(text, ids).stream(seqs)
-    return [[found[known[c]] for c in contexts] for contexts, _ in generations]
+    out = []
+    for contexts, _ in generations:
+        rows = [found[known[c]] for c in contexts]
+        out.append((np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))))
+    return out
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ class Unit:
                 text = text if isinstance(text, str) else ""
                 doc = int(doc)
                 self.low[text] = min(doc, self.low.get(text, doc))
-        self.texts = list(self.low)
+        self.texts = sorted(self.low)  # rows arrive in any order, and every pass must number contexts alike
         self.views = [view(t) for t in self.texts]
         self.ids = np.array([self.low[t] for t in self.texts], np.int64)
         self.key, self.text, self.lo, self.hi = runs(self.views)
@@ -251,8 +251,9 @@ def unpack_contexts(data: bytes) -> tuple[list[bytes], np.ndarray]:
 
 
 #: An index takes the generations of a shard, each a list of (distinct contexts, smallest id of each), and gives for
-#: each generation and context the smallest id of every window among this and all earlier generations.
-Index = Callable[[list[tuple[list[bytes], np.ndarray]]], list[list[np.ndarray]]]
+#: each generation the smallest id of every window of its contexts among this and all earlier generations, in one
+#: array, and where the contexts begin in it (with the end).
+Index = Callable[[list[tuple[list[bytes], np.ndarray]]], list[tuple[np.ndarray, np.ndarray]]]
 
 
 def remove(docs: DataFrame, view: type, index: Index) -> DataFrame:
@@ -317,46 +318,56 @@ def remove(docs: DataFrame, view: type, index: Index) -> DataFrame:
                 own.append(k)
             where.append((len(batches) - 1, own))
         found = index([(texts, np.array(lows, np.int64)) for texts, lows in batches])
+        least = [np.minimum.reduceat(ids, first[:-1]) for ids, first in found]
+        most = [np.maximum.reduceat(ids, first[:-1]) for ids, first in found]
         rows = []
         for u, (_, lows), (b, own) in zip(frame["unit"], sent, where, strict=True):
-            number, lo, hi, doc = [], [], [], []
-            for k, (low, at) in enumerate(zip(lows.tolist(), own, strict=True)):
-                least = found[b][at]
-                if least.min() < low:
-                    cuts = np.flatnonzero(np.diff(least)) + 1
-                    for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(least)], strict=True):
-                        if least[a] < low:
-                            number.append(k)
-                            lo.append(a)
-                            hi.append(z)
-                            doc.append(int(least[a]))
-            if number:
-                rows.append((name[0], u, 1, packed(*(np.array(x, np.int64) for x in (number, lo, hi, doc)))))
+            (ids, first), at = found[b], np.array(own, np.int64)
+            smaller = least[b][at] < lows
+            even = smaller & (most[b][at] == least[b][at])  # one id for the whole context
+            k = np.flatnonzero(even)
+            parts_of = [(k, np.zeros(len(k), np.int64), first[at[k] + 1] - first[at[k]], least[b][at[k]])]
+            for k in np.flatnonzero(smaller & ~even).tolist():
+                row = ids[first[at[k]] : first[at[k] + 1]]
+                lo = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
+                hi, ok = np.append(lo[1:], len(row)), row[lo] < lows[k]
+                parts_of.append((np.full(ok.sum(), k), lo[ok], hi[ok], row[lo[ok]]))
+            columns = [np.concatenate(x) for x in zip(*parts_of, strict=True)]
+            if len(columns[0]):
+                rows.append((name[0], u, 1, packed(*columns)))
         return pd.DataFrame(rows, columns=["shard", "unit", "kind", "data"])
 
     def resolve(name, frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         u = Unit(frame, view, shards)
-        cover: dict[int, list[tuple[int, int]]] = {}
         smaller = answers_of(replies, 1)
+        base = np.concatenate(([0], np.cumsum([v.n + 1 for v in u.views]))).astype(np.int64)
+        edge = np.zeros(base[-1] + 1, np.int64)
+
+        def cover(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+            np.add.at(edge, base[text] + lo, 1)
+            np.add.at(edge, base[text] + hi + WIDTH - 1, -1)
+
         for shard, (_, lows, members) in u.contexts(answers_of(replies, 0)).items():
-            pieces: dict[int, list[tuple[int, int, int]]] = {}
+            run, number = np.array(members, np.int64).T
+            text, lo = u.text[run], u.lo[run]
+            whole = np.array(lows, np.int64)[number] < u.ids[text]
+            cover(text[whole], lo[whole], u.hi[run[whole]])
             if shard in smaller:
-                for k, a, z, d in zip(*(x.tolist() for x in unpacked(smaller[shard], 4)), strict=True):
-                    pieces.setdefault(k, []).append((a, z, d))
-            for r, k in members:
-                t, lo = int(u.text[r]), int(u.lo[r])
-                doc = u.ids[t]
-                if lows[k] < doc:
-                    cover.setdefault(t, []).append((lo, int(u.hi[r])))
-                else:
-                    cover.setdefault(t, []).extend((lo + a, lo + z) for a, z, d in pieces.get(k, ()) if d < doc)
+                k, a, z, d = unpacked(smaller[shard], 4)
+                # The pieces of a context are neighbours once sorted; each member meets all of its context's.
+                order = np.argsort(k, kind="stable")
+                k, a, z, d = k[order], a[order], z[order], d[order]
+                left, right = np.searchsorted(k, number, "left"), np.searchsorted(k, number, "right")
+                size = np.where(whole, 0, right - left)
+                member = np.repeat(np.arange(len(number)), size)
+                piece = np.repeat(left - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                ok = d[piece] < u.ids[text[member]]
+                member, piece = member[ok], piece[ok]
+                cover(text[member], lo[member] + a[piece], lo[member] + z[piece])
         outcome = {}
+        depth = np.cumsum(edge)
         for t, v in enumerate(u.views):
-            edge = np.zeros(v.n + 1, np.int64)
-            for a, z in cover.get(t, ()):
-                edge[a] += 1
-                edge[z + WIDTH - 1] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = depth[base[t] : base[t] + v.n] > 0
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
             outcome[u.texts[t]] = (v.n, int(gone.sum()), spans, hashlib.sha256(v.kept(~gone) if gone.any() else v.data).hexdigest())
         rows, empty = [], hashlib.sha256(b"").hexdigest()

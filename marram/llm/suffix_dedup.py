@@ -72,12 +72,11 @@ def suffix_array(contexts: list[bytes], lows: np.ndarray) -> tuple[Level, np.nda
     return Level(windows[fresh], ids), place, first
 
 
-def search(generations: list[tuple[list[bytes], np.ndarray]]) -> list[list[np.ndarray]]:
+def search(generations: list[tuple[list[bytes], np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     family, out = Family(), []
     for contexts, lows in generations:
         level, place, first = suffix_array(contexts, lows)
-        least = family.add(level)[place]
-        out.append(np.split(least, first[1:-1]))
+        out.append((family.add(level)[place], first))
     return out
 
 
