@@ -284,9 +284,15 @@ def remove(docs: DataFrame, view: type, index: Index) -> DataFrame:
 
     def shared(name, frame: pd.DataFrame) -> pd.DataFrame:
         tags = [np.frombuffer(d, np.uint32) for d in frame["data"]]
-        every = np.sort(np.concatenate([np.unique(t) for t in tags]))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        rows = [(name[0], u, 0, np.packbits(np.isin(t, twice)).tobytes()) for u, t in zip(frame["unit"], tags, strict=True)]
+        owner, every = np.repeat(np.arange(len(tags)), [len(t) for t in tags]), np.concatenate(tags)
+        order = np.argsort(every, kind="stable")  # within a tag, units stay in order
+        every, owner = every[order], owner[order]
+        head = np.concatenate(([0], np.flatnonzero(every[1:] != every[:-1]) + 1))
+        size = np.diff(np.append(head, len(every)))
+        several = np.empty(len(every), bool)
+        several[order] = np.repeat(owner[head] != owner[head + size - 1], size)
+        ends = np.cumsum([len(t) for t in tags])
+        rows = [(name[0], u, 0, np.packbits(several[e - len(t) : e]).tobytes()) for u, t, e in zip(frame["unit"], tags, ends.tolist(), strict=True)]
         return pd.DataFrame(rows, columns=["shard", "unit", "kind", "data"])
 
     def answers_of(frame: pd.DataFrame, kind: int) -> dict[int, bytes]:
