@@ -52,34 +52,33 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeat: int)
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, id_col: str = "doc_id", seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every document with size, source_size, target and the number of its ``copies`` in the mix (0 upwards).
+def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, id_col: str = "doc_id", seed: str = SEED, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns of every document with _size, _source_size, _target and _copies (0 upwards).
 
     Null text: size 0. Null source: a source of its own. A source without words has target 0 and rate 0. Ids that
-    repeat draw alike. Rates never exceed ``max_repeat``, so no document is taken more often than that. ``keep``
-    names further columns to carry. The per-source table has one row per source; Spark broadcasts it only when
-    its measured size allows, else it joins by source with AQE splitting a hot one.
+    repeat draw alike. Rates never exceed ``max_repeat``, so no document is taken more often than that. The
+    per-source table has one row per source; Spark broadcasts it only when its measured size allows, else it joins
+    by source with AQE splitting a hot one.
     """
-    sized = docs.select(F.col(id_col), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), *[F.col(c) for c in keep if c not in (id_col, "source")])
-    totals = docs.select(F.col("source"), word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, weights, max_repeat).withColumnRenamed("source", "_of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    sized = docs.select(*[F.col(c) for c in keep], F.col("source").alias("_source"), F.col(id_col).alias("_id"), word_count(F.col("text")).alias("_size"))
+    totals = docs.select(F.col("source"), word_count(F.col("text")).alias("_size")).groupBy("source").agg(F.sum("_size").alias("source_size"))
+    targets = source_targets(totals, weights, max_repeat)
+    targets = targets.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("_of")), "left")
+        sized.join(targets, F.col("_source").eqNullSafe(F.col("_of")), "left")
         .withColumn("_rate", rate)
-        .withColumn("copies", (F.floor("_rate") + (draw(id_col, seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long"))
-        .drop("_rate", "_of")
+        .withColumn("_copies", (F.floor("_rate") + (draw("_id", seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long"))
     )
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """What the mix takes of every document, by row."""
-    got = copies(docs)
-    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    taken = (F.col("_size") * F.col("_copies")).alias("taken")
+    return copies(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken, F.col("_copies").alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns it came with."""
-    columns = list(docs.columns)
-    got = copies(docs.select(*columns), id_col=id_col, keep=tuple(columns))
-    return got.where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    got = copies(docs, id_col=id_col, keep=tuple(docs.columns)).where("_copies > 0")
+    return got.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -25,7 +25,7 @@ from .common import cut, shuffle_width
 
 RADIUS = 3
 BLOCKS = 5
-DIRECT = 1024  # members of a bucket that are compared block-wise at once
+DIRECT = 4096  # members of a bucket that are compared without splitting it
 BROADCAST_IDS = 100_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -108,64 +108,51 @@ def near_pairs(a: np.ndarray, b: np.ndarray, da: np.ndarray, db: np.ndarray, rad
     return left[ok], right[ok]
 
 
-class Forest:
-    """Union-find whose unions that joined something are the links to report."""
-
-    def __init__(self, n: int):
-        self.up, self.links = list(range(n)), []
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        a, b = self.root(x), self.root(y)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.links.append((x, y))
-
-
 def bucket_links(fps: np.ndarray, radius: int = RADIUS, every: int = 0) -> list[tuple[int, int]]:
     """A spanning forest of the links (index pairs) among different fingerprints of one bucket, none lost.
 
     A bucket of at most ``every`` members returns all its links instead.
     """
-    forest, far = Forest(len(fps)), far_pivots()
+    far = far_pivots()
+    coords = np.bitwise_count(fps[:, None] ^ far[None, :4]).astype(np.int16)
     if len(fps) <= every:
-        coords = np.bitwise_count(fps[:, None] ^ far[None, :4]).astype(np.int16)
         left, right = near_pairs(fps, fps, coords, coords, radius)
         return [(x, y) for x, y in zip(left.tolist(), right.tolist(), strict=True) if x < y]
-    coords = np.bitwise_count(fps[:, None] ^ far[None, :]).astype(np.int16)
-
-    def compare(rows: np.ndarray) -> None:
-        for i in range(0, len(rows), DIRECT):
-            for j in range(i, len(rows), DIRECT):
-                p, q = rows[i : i + DIRECT], rows[j : j + DIRECT]
-                left, right = near_pairs(fps[p], fps[q], coords[p], coords[q], radius)
-                for x, y in zip(p[left].tolist(), q[right].tolist(), strict=True):
-                    if x != y:
-                        forest.join(x, y)
+    found: list[tuple[int, int]] = []
+
+    def spread(rows: np.ndarray) -> None:
+        """Grows each component from its first member; a member is compared only with those not reached yet."""
+        left = rows
+        while len(left):
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                near = np.arange(len(left))
+                for k in range(coords.shape[1]):
+                    near = near[np.abs(coords[left[near], k] - coords[x, k]) <= radius]
+                near = near[np.bitwise_count(fps[left[near]] ^ fps[x]) <= radius]
+                if len(near):
+                    got = left[near].tolist()
+                    found.extend((x, y) for y in got)
+                    queue += got
+                    left = np.delete(left, near)
 
     def split(rows: np.ndarray, depth: int) -> None:
         """Members within the radius agree on one of radius + 1 parts of the bits in which the members differ."""
         if len(rows) <= DIRECT or depth == 0:
-            return compare(rows)
+            return spread(rows)
         vary = np.bitwise_or.reduce(fps[rows] ^ fps[rows[0]])
         bits = [b for b in range(64) if int(vary) >> b & 1]
         for part in range(radius + 1):
             mask = np.uint64(sum(1 << b for b in bits[part :: radius + 1]))
             value = fps[rows] & mask
             order = np.argsort(value, kind="stable")
-            cuts = np.flatnonzero(np.diff(value[order])) + 1
-            groups = np.split(order, cuts)
-            for g in groups:
+            for g in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
                 if len(g) > 1:
-                    split(rows[g], depth - 1 if len(g) < len(rows) // 2 else 0)
+                    split(np.sort(rows[g]), depth - 1 if len(g) < len(rows) // 2 else 0)
 
     split(np.arange(len(fps)), 4)
-    return forest.links
+    return found
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every: int = 0) -> DataFrame:
@@ -265,7 +252,7 @@ def groups(docs: DataFrame, size: int = 3, radius: int = RADIUS, blocks: int = B
     """
     fps = cut(fingerprints(docs, size))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = links(nodes, radius, blocks, 0 if least is None else DIRECT // 8)
+    edges = links(nodes, radius, blocks, 0 if least is None else 128)
     if least is not None:
         edges = cut(edges)
         wanted = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("low").alias("doc_id"))
