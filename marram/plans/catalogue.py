@@ -230,7 +230,7 @@ DECLARED = {
     "category_plus_all": "SELECT coalesce(c_mktsegment, 'all_categories') AS category, count(*) AS n, round(avg(c_acctbal), 4) AS m FROM {customer} GROUP BY ROLLUP (c_mktsegment)",
     "contingency_odds": "SELECT sum(quality * toxic) AS a, sum(quality * (1 - toxic)) AS b, sum((1 - quality) * toxic) AS c, sum((1 - quality) * (1 - toxic)) AS d, round(CAST(sum(quality * toxic) * sum((1 - quality) * (1 - toxic)) AS DOUBLE) / nullif(sum(quality * (1 - toxic)) * sum((1 - quality) * toxic), 0), 6) AS odds_ratio FROM {labels}",
     "chi_square_2x2": "SELECT round(n * pow(a * d - b * c, 2) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0), 6) AS chi2, round(pow(b - c, 2) / nullif(b + c, 0), 6) AS mcnemar FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(quality * toxic) AS DOUBLE) AS a, CAST(sum(quality * (1 - toxic)) AS DOUBLE) AS b, CAST(sum((1 - quality) * toxic) AS DOUBLE) AS c, CAST(sum((1 - quality) * (1 - toxic)) AS DOUBLE) AS d FROM {labels}) t",
-    "cohen_kappa": "SELECT round((po - pe) / nullif(1 - pe, 0), 6) AS kappa FROM (SELECT avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END) AS po, avg(CAST(quality AS DOUBLE)) * avg(CAST(toxic AS DOUBLE)) + (1 - avg(CAST(quality AS DOUBLE))) * (1 - avg(CAST(toxic AS DOUBLE))) AS pe FROM {labels}) t",
+    "cohen_kappa": "SELECT round((po - pe) / nullif(1 - pe, 0), 6) AS kappa FROM (SELECT avg(CASE WHEN quality = toxic THEN 1e0 ELSE 0e0 END) AS po, avg(CAST(quality AS DOUBLE)) * avg(CAST(toxic AS DOUBLE)) + (1 - avg(CAST(quality AS DOUBLE))) * (1 - avg(CAST(toxic AS DOUBLE))) AS pe FROM {labels}) t",
     "confusion_metrics": "SELECT round(tp / nullif(tp + fn, 0), 6) AS sens, round(tn / nullif(tn + fp, 0), 6) AS spec, round(tp / nullif(tp + fp, 0), 6) AS ppv, round((tp + tn) / (tp + tn + fp + fn), 6) AS acc, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM (SELECT CAST(sum(quality * toxic) AS DOUBLE) AS tp, CAST(sum((1 - quality) * (1 - toxic)) AS DOUBLE) AS tn, CAST(sum((1 - quality) * toxic) AS DOUBLE) AS fp, CAST(sum(quality * (1 - toxic)) AS DOUBLE) AS fn FROM {labels}) t",
     "auc_midrank": "SELECT round((sum(CASE WHEN quality = 1 THEN k END) - n1 * (n1 + 1) / 2) / nullif(n1 * n0, 0), 6) AS auc FROM (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS k, CAST(sum(quality) OVER () AS DOUBLE) AS n1, CAST(sum(1 - quality) OVER () AS DOUBLE) AS n0 FROM {labels} JOIN {documents} USING (doc_id)) t GROUP BY n1, n0",
     "youden_cut": "SELECT n_chars AS cut, round(j, 6) AS j FROM (SELECT n_chars, j, row_number() OVER (ORDER BY round(j, 9) DESC, n_chars) AS r FROM (SELECT n_chars, CAST(sum(p) OVER w AS DOUBLE) / sum(p) OVER () - CAST(sum(q) OVER w AS DOUBLE) / sum(q) OVER () AS j FROM (SELECT n_chars, sum(quality) AS p, sum(1 - quality) AS q FROM {labels} JOIN {documents} USING (doc_id) GROUP BY 1) g WINDOW w AS (ORDER BY n_chars DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) y) z WHERE r = 1",
