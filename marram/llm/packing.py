@@ -11,54 +11,76 @@ Shards never wait for each other and nothing is shuffled; memory is bounded by a
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 WINDOW = 4096
 END = 2
 SHARD_TOKENS = 1_000_000
-MEMO = 400_000
+MEMO = 1_000_000
 K1, B = 1.2, 0.75
 VOCABULARY = "word_bpe_49k.json"
 #: Fixed value: the word pattern of that vocabulary's pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed value: what that vocabulary appends to the last token of a piece.
+WORD_END = "</w>"
+PLAIN = 0x250  # code points below it mean the same to Python's lower-casing and patterns as to the tokenizer
+
+
+def narrow_pieces() -> re.Pattern:
+    """PIECES with its classes spelled out for characters below PLAIN and their lower case."""
+    known = sorted({x for c in map(chr, range(PLAIN)) for x in c + c.lower()})
+    letters, digits = ("".join(x for x in known if unicodedata.category(x)[0] == kind) for kind in "LN")
+    return re.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^\t-\r\x20\x85\xa0{letters}{digits}]").replace(r"\p{L}", letters).replace(r"\p{N}", digits))
 
 
 class Encoder:
     """Token ids of whole texts, by the tokenizer; pieces seen before come from a bounded memo.
 
-    The tokenizer cuts a text into pieces that it encodes one by one, so ids of pieces can be kept. That way is
-    taken for texts of characters below U+0250 without special tokens or U+0130, where lower-casing and the piece
-    pattern mean the same here as there; all others go to the tokenizer whole.
+    The tokenizer cuts a text into pieces that it encodes one by one, so ids of pieces can be kept. New pieces go
+    to it many at a time with spaces between them, and their ids are told apart by the ends of words. That way is
+    taken for texts of characters below U+0250 without special tokens, U+0130 or U+001C to U+001F; all others go
+    to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.memo: dict[str, np.ndarray] = {}
-        self.pieces = regex.compile(PIECES)
-        self.plain = regex.compile(r"[\x00-įı-ɏ]*")
+        self.memo: dict[str, bytes] = {}
+        self.pieces = narrow_pieces()
+        self.plain = re.compile(r"[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.whole.get_vocab().items() if token.endswith(WORD_END)]] = True
+
+    def learn(self, pieces: list[str]) -> None:
+        """Puts the ids of new pieces into the memo."""
+        ids = np.array(self.whole.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(pieces):  # a vocabulary without ends of words: one by one
+            self.memo |= {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(pieces, self.whole.encode_batch_fast(pieces, add_special_tokens=False), strict=True)}
+            return
+        data = ids.tobytes()
+        self.memo.update((w, data[4 * a : 4 * b]) for w, a, b in zip(pieces, [0, *ends], ends, strict=False))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(self.plain.fullmatch(t)) and "<|" not in t for t in texts]
+        plain = [self.plain.fullmatch(t) is not None and "<|" not in t for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
         cut = [self.pieces.findall(t.lower()) if p else None for t, p in zip(texts, plain, strict=True)]
-        new = list({w for words in cut if words for w in words if w not in memo})
+        new = [w for w in set().union(*(words for words in cut if words)) if w not in self.memo]
         for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, np.uint32).tobytes()
+            self.learn(new[i : i + 4096])
         direct = iter(self.whole.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [np.frombuffer(b"".join([memo[w] for w in words]), np.uint32) if words is not None else np.array(next(direct).ids, np.uint32) for words in cut]
+        ids = self.memo.__getitem__
+        return [np.frombuffer(b"".join(map(ids, words)), np.uint32) if words is not None else np.array(next(direct).ids, np.uint32) for words in cut]
 
 
 _encoders: dict[str, Encoder] = {}
