@@ -62,7 +62,7 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Puts the ids of new pieces into the memo."""
-        ids = np.array(self.whole.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.whole.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(ends) != len(pieces):  # a vocabulary without ends of words: one by one
             self.memo |= {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(pieces, self.whole.encode_batch_fast(pieces, add_special_tokens=False), strict=True)}
@@ -76,8 +76,8 @@ class Encoder:
             self.memo.clear()
         cut = [self.pieces.findall(t.lower()) if p else None for t, p in zip(texts, plain, strict=True)]
         new = [w for w in set().union(*(words for words in cut if words)) if w not in self.memo]
-        for i in range(0, len(new), 4096):
-            self.learn(new[i : i + 4096])
+        for i in range(0, len(new), 512):
+            self.learn(new[i : i + 512])
         direct = iter(self.whole.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
         ids = self.memo.__getitem__
         return [np.frombuffer(b"".join(map(ids, words)), np.uint32) if words is not None else np.array(next(direct).ids, np.uint32) for words in cut]
