@@ -9,10 +9,14 @@ the rest are verified on the fingerprints themselves.
 
 Equal fingerprints are one node. A bucket returns a spanning forest of its links, never all its pairs; a large
 bucket is split again on the bits in which its members differ.
+
+The pipeline's stage asks for a Jaccard similarity of the shingle sets, which fingerprints only estimate, so it has
+a search of its own (``similar_groups``): a prefix filter, which misses no pair, and verification on the sets.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +30,8 @@ from .common import cut, shuffle_width
 RADIUS = 3
 BLOCKS = 5
 DIRECT = 4096  # members of a bucket that are compared without splitting it
-BROADCAST_IDS = 100_000
+SAMPLE = 8000  # documents that tell common shingles from others
+COMMON = 0.001
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -96,28 +101,10 @@ def far_pivots(n: int = 16) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 2**64, n, dtype=np.uint64)
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, da: np.ndarray, db: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs of a and b within the radius: maximum coordinate difference first, then the bits."""
-    left, right = np.nonzero(np.abs(da[:, None, 0] - db[None, :, 0]) <= radius)
-    for k in range(1, da.shape[1]):
-        if len(left) == 0:
-            break
-        ok = np.abs(da[left, k] - db[right, k]) <= radius
-        left, right = left[ok], right[ok]
-    ok = np.bitwise_count(a[left] ^ b[right]) <= radius
-    return left[ok], right[ok]
-
-
-def bucket_links(fps: np.ndarray, radius: int = RADIUS, every: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the links (index pairs) among different fingerprints of one bucket, none lost.
-
-    A bucket of at most ``every`` members returns all its links instead.
-    """
+def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """A spanning forest of the links (index pairs) among different fingerprints of one bucket, none lost."""
     far = far_pivots()
     coords = np.bitwise_count(fps[:, None] ^ far[None, :4]).astype(np.int16)
-    if len(fps) <= every:
-        left, right = near_pairs(fps, fps, coords, coords, radius)
-        return [(x, y) for x, y in zip(left.tolist(), right.tolist(), strict=True) if x < y]
     found: list[tuple[int, int]] = []
 
     def spread(rows: np.ndarray) -> None:
@@ -155,7 +142,7 @@ def bucket_links(fps: np.ndarray, radius: int = RADIUS, every: int = 0) -> list[
     return found
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every: int = 0) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(a, b) with a < b: links that connect all different fingerprints (column fp) within the radius."""
     agree = blocks - radius
     chosen = list(combinations(range(blocks), agree))
@@ -190,7 +177,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every: i
         got = []
         for i in np.flatnonzero(hi - lo > 1):
             f = fp[lo[i] : hi[i]]
-            got += [(int(f[x]), int(f[y])) for x, y in bucket_links(f.view(np.uint64), radius, every)]
+            got += [(int(f[x]), int(f[y])) for x, y in bucket_links(f.view(np.uint64), radius)]
         if got:
             yield pd.DataFrame({"a": [min(x) for x in got], "b": [max(x) for x in got]})
 
@@ -222,62 +209,163 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def shingle_set(text: str | None, size: int) -> set[bytes]:
+def groups(docs: DataFrame, size: int = 3, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable over links) of every row.
+
+    Null, empty and blank texts have fingerprint 0 and link like any other. Repeated rows share a group. Equal
+    fingerprints are aggregated before anything is dealt, so a group of copies is one node of the search.
+    """
+    fps = cut(fingerprints(docs, size))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    found = components(nodes, links(nodes, radius, blocks))
+    roots = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    return fps.join(roots.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The sorted hashes of the text's set of shingles; a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + size]), 42) for i in range(max(1, len(words) - size + 1))], np.uint64))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """One signed long per set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
+
+
+def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of shingles that hold a share ``COMMON`` or more of some ``SAMPLE`` documents.
+
+    They only set the order in which shingles are tried, so the sample decides about speed and never about results;
+    a document of n shingles can add no more than n / (SAMPLE * COMMON) to their number.
+    """
+    rows = max(1, docs.count())
+
+    def run(batches):
+        for frame in batches:
+            sets = [shingle_hashes(t if isinstance(t, str) else None, size) for t in frame["text"]]
+            if sets:
+                h, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pd.DataFrame({"h": h.view(np.int64), "n": n})
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLE / rows)).select("text")
+    counts = some.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, min(rows, SAMPLE) * COMMON))
+    return np.sort(np.array([r["h"] for r in counts.collect()], np.int64).view(np.uint64))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles in the order "common ones last, then by hash": two sets at ``least`` share one of these."""
+    n = len(hashes)
+    late = np.isin(hashes, common, assume_unique=True)
+    return np.concatenate((hashes[~late], hashes[late]))[: n - math.ceil(least * n - 1e-9) + 1]
+
+
+def all_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of nodes (node, n, prefix) that shares a shingle of both prefixes and may reach ``least`` by size."""
+
+    def search(batches):
+        rest = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        for frame in batches:
+            token, node, n = (np.concatenate((r, frame[c].to_numpy(np.int64))) for r, c in zip(rest, ("token", "node", "n"), strict=True))
+            last = np.searchsorted(token, token[-1]) if len(token) else 0
+            yield from emit(token[:last], node[:last], n[:last])
+            rest = token[last:], node[last:], n[last:]
+        yield from emit(*rest)
+
+    def emit(token, node, n):
+        ends = np.flatnonzero(np.diff(token)) + 1
+        lo, hi = np.concatenate(([0], ends)), np.concatenate((ends, [len(token)]))
+        left, right, held = [], [], 0
+        for i in np.flatnonzero(hi - lo > 1):
+            m, k = node[lo[i] : hi[i]], n[lo[i] : hi[i]]
+            for x in range(len(m) - 1):
+                ok = np.minimum(k[x], k[x + 1 :]) >= least * np.maximum(k[x], k[x + 1 :]) - 1e-9
+                right.append(m[x + 1 :][ok])
+                left.append(np.full(len(right[-1]), m[x]))
+                held += len(right[-1])
+                if held > 100_000:
+                    yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+                    left, right, held = [], [], 0
+        if held:
+            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    dealt = nodes.select(F.explode("prefix").alias("token"), "node", "n")
+    width = shuffle_width(nodes.sparkSession)
+    return dealt.repartition(width, "token").sortWithinPartitions("token", "node").mapInPandas(search, "a long, b long").distinct()
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, h): the hashes of the shingle sets of nodes (node, low), taken from the documents that lead them."""
+
+    def run(batches):
+        for frame in batches:
+            sets = [shingle_hashes(t if isinstance(t, str) else None, size) for t in frame["text"]]
+            yield pd.DataFrame({"node": np.array([set_key(h) for h in sets], np.int64), "h": [h.tobytes() for h in sets]})
+
+    led = docs.select("doc_id", "text").join(nodes.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return led.mapInPandas(run, "node long, h binary").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("h").alias("h"))
 
 
-def alike(edges: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The edges (a, b) whose texts (fp, text) have a shingle Jaccard similarity of at least ``least``."""
+def alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The edges (a, b) whose sets (node, h) have a Jaccard similarity of at least ``least``."""
 
     def run(batches):
         for frame in batches:
             ok = []
             for x, y in zip(frame["x"], frame["y"], strict=True):
-                x, y = shingle_set(x, size), shingle_set(y, size)
-                ok.append(len(x & y) >= least * len(x | y))
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both))
             yield frame.loc[ok, ["a", "b"]]
 
-    both = edges.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def groups(docs: DataFrame, size: int = 3, radius: int = RADIUS, blocks: int = BLOCKS, least: float | None = None) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links) of every row.
+def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, node and component_id (smallest doc_id reachable over links) of every row; a link joins two texts whose
+    sets of shingles have a Jaccard similarity of at least ``least``, and none is missed.
 
-    With ``least``, a link must also reach that Jaccard similarity of the shingles of the two fingerprints'
-    first texts; large buckets then verify the links of their spanning forest. Null, empty and blank texts have
-    fingerprint 0 and link like any other. Repeated rows share a group. Equal fingerprints are aggregated before
-    anything is dealt, so a group of copies is one node of the search.
+    Texts with equal sets are one node. Two sets at ``least`` share one of the first (1 - least) n + 1 shingles of
+    each in any common order (prefix filter), so those are dealt by hash and the pairs that meet are verified.
     """
-    fps = cut(fingerprints(docs, size))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = links(nodes, radius, blocks, 0 if least is None else 128)
-    if least is not None:
-        edges = cut(edges)
-        wanted = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("low").alias("doc_id"))
-        wanted = cut(wanted)
-        if wanted.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        texts = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
-        edges = alike(edges, cut(texts), size, least)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
+
+    def run(batches):
+        for frame in batches:
+            sets = [shingle_hashes(t if isinstance(t, str) else None, size) for t in frame["text"]]
+            first = [prefix(h, common.value, least).view(np.int64) for h in sets]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "node": np.array([set_key(h) for h in sets], np.int64), "n": [len(h) for h in sets], "prefix": first})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = cut(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, node long, n long, prefix array<long>"))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    edges = verified(docs, nodes, size, least)
+    nodes = nodes.select("node", "low")
     found = components(nodes, edges)
-    roots = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    roots = nodes.join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(roots.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.select("doc_id", "node").join(roots.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def verified(docs: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
+    """(a, b): the links between the nodes."""
+    edges = cut(all_pairs(nodes, least))
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
+    return alike(edges, cut(sets_of(docs, cut(wanted), size)), least)
 
 
-def keep_first(docs: DataFrame, size: int = 5, radius: int = 8, blocks: int = 10, least: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """The rows, with their columns, that lead their group of near-duplicates (component_id = doc_id).
 
-    Links: five-word shingles, SimHash within ``radius`` bits, then a Jaccard similarity of ``least`` or more.
-    (At a similarity of 0.8 some ten bits of 64 differ on average, so the radius finds the closer part of such
-    pairs; pairs of 0.95 and more differ in about five.) Rows that repeat an id share its fate. Rows without an id
-    stay.
+    Links: all pairs whose five-word shingles have a Jaccard similarity of ``least`` or more. Rows that repeat an id
+    share its fate. Rows without an id stay.
     """
-    got = groups(docs.where("doc_id is not null"), size, radius, blocks, least).where("doc_id <> component_id").select("doc_id").distinct()
+    got = similar_groups(docs.where("doc_id is not null"), size, least).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(got, "doc_id", "left_anti").select(*docs.columns)

@@ -189,6 +189,36 @@ def test_bucket_links_connect_all(n):
     assert roots(simhash.bucket_links(fps)) == roots(every)
 
 
+def jaccard_groups(texts, least=0.8, size=5):
+    """The smallest number of each text's component over all pairs."""
+    sets = [{tuple(t.split()[i : i + size]) for i in range(max(1, len(t.split()) - size + 1))} for t in texts]
+    near = [[j for j, y in enumerate(sets) if len(x & y) >= least * len(x | y)] for x in sets]
+    low, before = list(range(len(texts))), None
+    while low != before:
+        before, low = low, [min(low[j] for j in js) for js in near]
+    return low
+
+
+def edited(rng, base, n, edits):
+    """n copies of base with some words replaced by new ones."""
+    out = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.choice(len(words), int(rng.integers(*edits)), replace=False):
+            words[at] = f"new{i}x{at}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_dedup_finds_all_pairs_of_the_contract(spark):
+    rng = np.random.default_rng(11)
+    texts = [t for b in range(60) for t in edited(rng, [f"w{b}x{i}" for i in range(int(rng.integers(30, 200)))], 3, (0, 5))]
+    want = jaccard_groups(texts)
+    assert 60 < len(set(want)) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_first(df).collect()) == sorted(set(want))
+
+
 def test_packing_round_trip(docs, none, rows):
     pieces = packing.pack(docs).toPandas()
     assert len(packing.pack(none).collect()) == 0
