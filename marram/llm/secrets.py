@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: The kinds in their order, with pattern, group that holds the value, and least length of it.
+#: The pattern of opaque matches whole runs; those without a letter or without a digit are left out afterwards.
 KINDS = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
-    ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,19}[0-9])(?=[0-9+/_=-]{0,19}[A-Za-z])[A-Za-z0-9+/_=-]{20,}", 0, 20),
+    ("opaque", r"[A-Za-z0-9+/_=-]{20,}", 0, 20),
 )
 EXAMPLE_OWNERS = 3
 
@@ -40,7 +41,8 @@ def found(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
     )
     rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
     spans = F.aggregate(rows, start, piece, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, lit), F.filter(spans, lambda s: F.char_length(s["value"]) >= least)).otherwise(F.coalesce(empty, F.array().cast("array<struct<start: int, place: int, kind: string, end: int, value: string>>")))
+    fits = lambda v: (F.char_length(v) >= least) & (F.rlike(v, F.lit("[0-9]")) & F.rlike(v, F.lit("[A-Za-z]")) if kind == "opaque" else F.lit(True))
+    return F.when(F.rlike(text, lit), F.filter(spans, lambda s: fits(s["value"]))).otherwise(F.coalesce(empty, F.array().cast("array<struct<start: int, place: int, kind: string, end: int, value: string>>")))
 
 
 def candidates(docs: DataFrame, owner: str, repo: str) -> DataFrame:

@@ -136,6 +136,14 @@ def test_secret_spans(docs, none, rows):
     assert secrets.report(none).count() == 0
 
 
+def test_opaque_runs_are_mixed_anywhere(spark):
+    runs = ["x" * 25 + "7", "1" * 30 + "z" + "2" * 5, "y1" * 10, "w" * 40, "4" * 30, "+/_=-" * 6 + "5", "v" * 18 + "1"]
+    df = spark.createDataFrame([(i, f"é {r}, end", "a") for i, r in enumerate(runs)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(df).collect()}
+    assert got == {i: f"opaque:2:{2 + len(r)}" if i < 3 else "" for i, r in enumerate(runs)}
+    assert {r["text"] for r in secrets.redact(df).where("doc_id < 3").collect()} == {"é [SECRET], end"}
+
+
 def test_language_learns_and_rejects(spark):
     rng = np.random.default_rng(3)
     words = {"en": ["the", "thing", "with", "that"], "fr": ["été", "où", "ça", "eaux"]}
