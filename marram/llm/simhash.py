@@ -32,6 +32,8 @@ BLOCKS = 5
 DIRECT = 4096  # members of a bucket that are compared without splitting it
 SAMPLE = 8000  # documents that tell common shingles from others
 COMMON = 0.001
+FAMILY = 64  # members of a bucket of which every pair is verified by itself
+BLOCK = 1000  # members of a family that are grown together
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -267,7 +269,11 @@ def prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
 
 
 def all_pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b): every pair of nodes (node, n, prefix) that shares a shingle of both prefixes and may reach ``least`` by size."""
+    """(a, b, many): every pair of nodes (node, n, prefix) that shares a shingle of both prefixes and may reach ``least`` by size.
+
+    A bucket of more than ``FAMILY`` members gives no pairs but ``many`` ties from its first member to all others: its
+    pairs lie inside a component of such ties, a family.
+    """
 
     def search(batches):
         rest = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -282,7 +288,10 @@ def all_pairs(nodes: DataFrame, least: float) -> DataFrame:
         ends = np.flatnonzero(np.diff(token)) + 1
         lo, hi = np.concatenate(([0], ends)), np.concatenate((ends, [len(token)]))
         left, right, held = [], [], 0
-        for i in np.flatnonzero(hi - lo > 1):
+        large = np.flatnonzero(hi - lo > FAMILY)
+        for i in large:
+            yield pd.DataFrame({"a": node[lo[i]], "b": node[lo[i] + 1 : hi[i]], "many": True})
+        for i in np.flatnonzero((hi - lo > 1) & (hi - lo <= FAMILY)):
             m, k = node[lo[i] : hi[i]], n[lo[i] : hi[i]]
             for x in range(len(m) - 1):
                 ok = np.minimum(k[x], k[x + 1 :]) >= least * np.maximum(k[x], k[x + 1 :]) - 1e-9
@@ -290,14 +299,14 @@ def all_pairs(nodes: DataFrame, least: float) -> DataFrame:
                 left.append(np.full(len(right[-1]), m[x]))
                 held += len(right[-1])
                 if held > 100_000:
-                    yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+                    yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right), "many": False})
                     left, right, held = [], [], 0
         if held:
-            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right), "many": False})
 
     dealt = nodes.select(F.explode("prefix").alias("token"), "node", "n")
     width = shuffle_width(nodes.sparkSession)
-    return dealt.repartition(width, "token").sortWithinPartitions("token", "node").mapInPandas(search, "a long, b long").distinct()
+    return dealt.repartition(width, "token").sortWithinPartitions("token", "node").mapInPandas(search, "a long, b long, many boolean").distinct()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -333,7 +342,8 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
     sets of shingles have a Jaccard similarity of at least ``least``, and none is missed.
 
     Texts with equal sets are one node. Two sets at ``least`` share one of the first (1 - least) n + 1 shingles of
-    each in any common order (prefix filter), so those are dealt by hash and the pairs that meet are verified.
+    each in any common order (prefix filter), so those are dealt by hash and the pairs that meet are verified; in
+    large buckets only a spanning forest of verified links is made.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
@@ -354,11 +364,59 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
     return rows.select("doc_id", "node").join(roots.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
 
 
+def grow(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links (index pairs) among the sets: a member is claimed only over a verified link."""
+    sizes = np.array([len(x) for x in sets])
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, np.cumsum(sizes)[:-1])
+    mark, found, left = np.zeros(len(words), bool), [], np.arange(len(sets))
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        flat, starts = np.concatenate([ids[i] for i in left]), np.concatenate(([0], np.cumsum(sizes[left])[:-1]))
+        while queue and len(left):
+            x = queue.pop()
+            mark[ids[x]] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[ids[x]] = False
+            near = both >= least * (sizes[left] + sizes[x] - both)
+            if near.any():
+                queue += left[near].tolist()
+                found += [(x, y) for y in left[near].tolist()]
+                left = left[~near]
+                if len(left):
+                    flat, starts = np.concatenate([ids[i] for i in left]), np.concatenate(([0], np.cumsum(sizes[left])[:-1]))
+    return found
+
+
+def family_links(ties: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): verified links that connect all that is linked within the families of the ties (a, b).
+
+    A family of more than ``BLOCK`` members is cut into blocks and every two blocks are grown together, so each
+    pair of members meets in some task and no task holds more than about two blocks.
+    """
+    found = cut(components(sets, ties))
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    placed = members.join(blocks, "root").withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
+    placed = placed.select("node", "root", "i", F.explode(F.expr("if(blocks = 1, array(0L), filter(sequence(0L, blocks - 1), j -> j <> i))")).alias("j"))
+    dealt = placed.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node").join(sets, "node")
+
+    def run(frame):
+        node = frame["node"].to_numpy(np.int64)
+        got = grow([np.frombuffer(h, np.uint64) for h in frame["h"]], least)
+        return pd.DataFrame({"a": [node[x] for x, _ in got], "b": [node[y] for _, y in got]}, dtype=np.int64)
+
+    return dealt.groupBy("root", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def verified(docs: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
-    """(a, b): the links between the nodes."""
+    """(a, b): links between the nodes that connect all that is linked."""
     edges = cut(all_pairs(nodes, least))
     wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
-    return alike(edges, cut(sets_of(docs, cut(wanted), size)), least)
+    sets = cut(sets_of(docs, cut(wanted), size))
+    out = alike(edges.where("not many"), sets, least)
+    ties = edges.where("many").select("a", "b")
+    return out if ties.isEmpty() else out.unionByName(family_links(ties, sets, least))
 
 
 def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:

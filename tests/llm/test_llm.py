@@ -227,6 +227,16 @@ def test_near_dedup_finds_all_pairs_of_the_contract(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(df).collect()) == sorted(set(want))
 
 
+def test_large_families_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 60)
+    rng = np.random.default_rng(12)
+    texts = [t for b in range(2) for t in edited(rng, [f"w{b}x{i}" for i in range(200)], 130, (2, 5))]
+    want = jaccard_groups(texts)
+    assert 10 < len(set(want)) < len(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_packing_round_trip(docs, none, rows):
     pieces = packing.pack(docs).toPandas()
     assert len(packing.pack(none).collect()) == 0
