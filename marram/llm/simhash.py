@@ -32,6 +32,7 @@ BLOCKS = 5
 DIRECT = 4096  # members of a bucket that are compared without splitting it
 SAMPLE = 8000  # documents that tell common shingles from others
 COMMON = 0.001
+BINS = 128
 FAMILY = 64  # members of a bucket of which every pair is verified by itself
 BLOCK = 1000  # members of a family that are grown together
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -241,6 +242,25 @@ def set_key(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each of ``BINS`` ranges."""
+    return np.minimum(np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes()
+
+
+def plausible(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The edges (a, b) that ``least`` does not rule out: the sketches differ by no more than the sets may."""
+
+    def run(batches):
+        for frame in batches:
+            x, y = (np.frombuffer(b"".join(frame[c]), "<u2").reshape(-1, BINS).astype(np.int64) for c in ("x", "y"))
+            total = frame["nx"].to_numpy(np.int64) + frame["ny"].to_numpy(np.int64)
+            yield frame.loc[np.abs(x - y).sum(axis=1) <= total * (1 - least) / (1 + least) + 1e-6, ["a", "b"]]
+
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y"))
+    return edges.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y").mapInPandas(run, "a long, b long")
+
+
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of shingles that hold a share ``COMMON`` or more of some ``SAMPLE`` documents.
 
@@ -351,11 +371,11 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
         for frame in batches:
             sets = [shingle_hashes(t if isinstance(t, str) else None, size) for t in frame["text"]]
             first = [prefix(h, common.value, least).view(np.int64) for h in sets]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "node": np.array([set_key(h) for h in sets], np.int64), "n": [len(h) for h in sets], "prefix": first})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "node": np.array([set_key(h) for h in sets], np.int64), "n": [len(h) for h in sets], "prefix": first, "sketch": [sketch(h) for h in sets]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, node long, n long, prefix array<long>"))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    rows = cut(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, node long, n long, prefix array<long>, sketch binary"))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
     edges = verified(docs, nodes, size, least)
     nodes = nodes.select("node", "low")
     found = components(nodes, edges)
@@ -412,10 +432,11 @@ def family_links(ties: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def verified(docs: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
     """(a, b): links between the nodes that connect all that is linked."""
     edges = cut(all_pairs(nodes, least))
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
-    sets = cut(sets_of(docs, cut(wanted), size))
-    out = alike(edges.where("not many"), sets, least)
+    pairs = cut(plausible(edges.where("not many"), nodes, least))
     ties = edges.where("many").select("a", "b")
+    wanted = pairs.unionByName(ties).select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
+    sets = cut(sets_of(docs, cut(wanted), size))
+    out = alike(pairs, sets, least)
     return out if ties.isEmpty() else out.unionByName(family_links(ties, sets, least))
 
 
