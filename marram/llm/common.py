@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +28,48 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder, so that lost executors cost no recomputation of its past.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the session's ``spark.checkpoint.dir`` as it is.
 
-    The session's ``spark.checkpoint.dir`` is used as it is; only where none is set (tests on one machine)
-    a temporary folder is set.
+    Where none is set, a session on one machine (master local) gets a temporary folder; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp()
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialises df in the shared checkpoint folder, so that lost executors cost no recomputation of its past."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def by_text(docs: DataFrame, columns: Callable[[list[str | None]], list], shape: str) -> DataFrame:
+    """doc_id as it came, in any type, and the columns (arrays or lists, one value a row) made of the texts.
+
+    Ids stay in Arrow, so nulls beside them do not change them.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    types = spark.createDataFrame([], shape).schema
+    arrow = [(f.name, to_arrow(f.dataType)) for f in types.fields]
+
+    def run(batches):
+        for batch in batches:
+            made = columns(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, (_, t) in zip(made, arrow, strict=True)]], names=["doc_id", *[n for n, _ in arrow]])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, {shape}")
+
+
+def to_arrow(kind) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)

@@ -10,8 +10,13 @@ the rest are verified on the fingerprints themselves.
 Equal fingerprints are one node. A bucket returns a spanning forest of its links, never all its pairs; a large
 bucket is split again on the bits in which its members differ.
 
-The pipeline's stage asks for a Jaccard similarity of the shingle sets, which fingerprints only estimate, so it has
-a search of its own (``similar_groups``): a prefix filter, which misses no pair, and verification on the sets.
+The distances to a block's pivots determine the block's bits and are determined by them, so the tables are kept
+packed, as those bits: what prunes is agreement in two blocks, then four full-width pivots inside a bucket.
+
+The pipeline's stage asks for a Jaccard similarity of 0.8 of the sets of five-word shingles. Fingerprints of such
+pairs differ in about 15 % of their bits, and at that radius neither blocks nor pivots rule anything out. So the
+stage (``similar_groups``) takes its candidates from a prefix filter over the shingles, which misses no pair, lets
+fingerprints of 128 bits discard them (``FAR``), and verifies the survivors on the sets.
 """
 
 from __future__ import annotations
@@ -25,50 +30,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_width
+from .common import by_text, cut, shuffle_width
 
 RADIUS = 3
 BLOCKS = 5
 DIRECT = 4096  # members of a bucket that are compared without splitting it
-SAMPLE = 8000  # documents that tell common shingles from others
-COMMON = 0.001
-BINS = 128
-FAMILY = 64  # members of a bucket of which every pair is verified by itself
-BLOCK = 1000  # members of a family that are grown together
+SAMPLE = 8000, 200_000  # documents, least and most, that tell common shingles from others
+COMMON = 8  # documents of the sample that hold a common shingle
+FAR, FAR_SHORT, SHORT = 40, 48, 16  # bits of 128 that fingerprints of similar sets differ in at most; that of short sets
+BLOCK = 500_000  # hashes of a family that are held together
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """64 bits of the text's shingles of ``size`` words; 0 without words. Bit j is set if over half the hashes have it."""
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of ``size`` words in order; fewer words are one shingle, none give none."""
     words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
     if not words:
-        return 0
-    whole = b" ".join(words)
+        return np.zeros(0, np.uint64)
+    whole, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= size:
-        hashes = [xxhash.xxh64_intdigest(whole, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(whole[a:b], 42) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, np.uint64)
+        return np.array([digest(whole, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([digest(whole[a:b], 42) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits: bit j is set if over half the hashes have it; 0 without hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
         counts += np.unpackbits(h[i : i + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(h), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): fp as a signed long with the same bits. Null texts have no words."""
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """The SimHash of the text's shingles, repeats included."""
+    return majority(shingles(text, size))
 
-    def run(batches):
-        for frame in batches:
-            fps = np.array([fingerprint(t if isinstance(t, str) else None, size) for t in frame["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fps.view(np.int64)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """(doc_id, fp): fp as a signed long with the same bits. Null texts have no words."""
+    return by_text(docs, lambda texts: [np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)], "fp long")
 
 
 def block_masks(blocks: int = BLOCKS) -> list[int]:
@@ -209,6 +211,8 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -230,11 +234,10 @@ def report(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """The sorted hashes of the text's set of shingles; a text of fewer words is one shingle."""
-    words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + size]), 42) for i in range(max(1, len(words) - size + 1))], np.uint64))
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The sorted hashes of the text's set of shingles; a text without words has one empty shingle."""
+    h = shingles(text, size)
+    return np.unique(h) if len(h) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
 
 
 def set_key(hashes: np.ndarray) -> int:
@@ -242,43 +245,32 @@ def set_key(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """How many hashes fall into each of ``BINS`` ranges."""
-    return np.minimum(np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes()
-
-
-def plausible(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The edges (a, b) that ``least`` does not rule out: the sketches differ by no more than the sets may."""
-
-    def run(batches):
-        for frame in batches:
-            x, y = (np.frombuffer(b"".join(frame[c]), "<u2").reshape(-1, BINS).astype(np.int64) for c in ("x", "y"))
-            total = frame["nx"].to_numpy(np.int64) + frame["ny"].to_numpy(np.int64)
-            yield frame.loc[np.abs(x - y).sum(axis=1) <= total * (1 - least) / (1 + least) + 1e-6, ["a", "b"]]
-
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y"))
-    return edges.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y").mapInPandas(run, "a long, b long")
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits over the set: the majority of the hashes and that of the hashes mixed again."""
+    again = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return majority(hashes), majority(again ^ (again >> np.uint64(29)))
 
 
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of shingles that hold a share ``COMMON`` or more of some ``SAMPLE`` documents.
+    """Sorted hashes of shingles that ``COMMON`` or more of a sample of documents hold.
 
-    They only set the order in which shingles are tried, so the sample decides about speed and never about results;
-    a document of n shingles can add no more than n / (SAMPLE * COMMON) to their number.
+    The sample is a fiftieth of the rows within the bounds ``SAMPLE``. It only sets the order in which shingles are
+    tried, so it decides about speed and never about results; a document of n shingles can add no more than
+    n / COMMON to their number.
     """
     rows = max(1, docs.count())
+    most = min(max(rows // 50, SAMPLE[0]), SAMPLE[1])
 
     def run(batches):
         for frame in batches:
-            sets = [shingle_hashes(t if isinstance(t, str) else None, size) for t in frame["text"]]
+            sets = [shingle_set(t if isinstance(t, str) else None, size) for t in frame["text"]]
             if sets:
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pd.DataFrame({"h": h.view(np.int64), "n": n})
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLE / rows)).select("text")
-    counts = some.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, min(rows, SAMPLE) * COMMON))
-    return np.sort(np.array([r["h"] for r in counts.collect()], np.int64).view(np.uint64))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 1_000_000 * min(1.0, most / rows)).select("text")
+    counts = some.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).select("h")
+    return np.sort(counts.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
@@ -288,45 +280,60 @@ def prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     return np.concatenate((hashes[~late], hashes[late]))[: n - math.ceil(least * n - 1e-9) + 1]
 
 
-def all_pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b, many): every pair of nodes (node, n, prefix) that shares a shingle of both prefixes and may reach ``least`` by size.
+def bucket_ties(node: np.ndarray, n: np.ndarray, one: np.ndarray, two: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of one bucket that sizes and fingerprints do not rule out."""
+    found, left = [], np.arange(len(node))
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            bits = np.bitwise_count(one[left] ^ one[x]).astype(np.int64) + np.bitwise_count(two[left] ^ two[x])
+            low, high = np.minimum(n[left], n[x]), np.maximum(n[left], n[x])
+            near = (bits <= np.where(low < SHORT, FAR_SHORT, FAR)) & (low >= least * high - 1e-9)
+            if near.any():
+                got = left[near].tolist()
+                found += [(int(node[x]), int(node[y])) for y in got]
+                queue += got
+                left = left[~near]
+    return found
+
 
-    A bucket of more than ``FAMILY`` members gives no pairs but ``many`` ties from its first member to all others: its
-    pairs lie inside a component of such ties, a family.
+def candidate_ties(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of nodes that connect all nodes which share a shingle of both prefixes and may reach ``least``.
+
+    A bucket of k members gives at most k - 1 of them, so their number never exceeds that of the rows dealt.
     """
 
     def search(batches):
-        rest = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        names = ("token", "node", "n", "one", "two")
+        rest = [np.empty(0, np.int64) for _ in names]
         for frame in batches:
-            token, node, n = (np.concatenate((r, frame[c].to_numpy(np.int64))) for r, c in zip(rest, ("token", "node", "n"), strict=True))
-            last = np.searchsorted(token, token[-1]) if len(token) else 0
-            yield from emit(token[:last], node[:last], n[:last])
-            rest = token[last:], node[last:], n[last:]
+            all_of = [np.concatenate((r, frame[c].to_numpy(np.int64))) for r, c in zip(rest, names, strict=True)]
+            last = np.searchsorted(all_of[0], all_of[0][-1]) if len(all_of[0]) else 0
+            yield from emit(*[x[:last] for x in all_of])
+            rest = [x[last:] for x in all_of]
         yield from emit(*rest)
 
-    def emit(token, node, n):
+    def emit(token, node, n, one, two):
         ends = np.flatnonzero(np.diff(token)) + 1
         lo, hi = np.concatenate(([0], ends)), np.concatenate((ends, [len(token)]))
-        left, right, held = [], [], 0
-        large = np.flatnonzero(hi - lo > FAMILY)
-        for i in large:
-            yield pd.DataFrame({"a": node[lo[i]], "b": node[lo[i] + 1 : hi[i]], "many": True})
-        for i in np.flatnonzero((hi - lo > 1) & (hi - lo <= FAMILY)):
-            m, k = node[lo[i] : hi[i]], n[lo[i] : hi[i]]
-            for x in range(len(m) - 1):
-                ok = np.minimum(k[x], k[x + 1 :]) >= least * np.maximum(k[x], k[x + 1 :]) - 1e-9
-                right.append(m[x + 1 :][ok])
-                left.append(np.full(len(right[-1]), m[x]))
-                held += len(right[-1])
-                if held > 100_000:
-                    yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right), "many": False})
-                    left, right, held = [], [], 0
-        if held:
-            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right), "many": False})
-
-    dealt = nodes.select(F.explode("prefix").alias("token"), "node", "n")
+        one, two = one.view(np.uint64), two.view(np.uint64)
+        x = lo[hi - lo == 2]  # most buckets have one member or two
+        bits = np.bitwise_count(one[x] ^ one[x + 1]).astype(np.int64) + np.bitwise_count(two[x] ^ two[x + 1]) if len(x) else np.zeros(0, np.int64)
+        low, high = (np.minimum(n[x], n[x + 1]), np.maximum(n[x], n[x + 1])) if len(x) else (bits, bits)
+        x = x[(bits <= np.where(low < SHORT, FAR_SHORT, FAR)) & (low >= least * high - 1e-9)]
+        if len(x):
+            yield pd.DataFrame({"a": node[x], "b": node[x + 1]})
+        for i in np.flatnonzero(hi - lo > 2):
+            s = slice(lo[i], hi[i])
+            got = bucket_ties(node[s], n[s], one[s], two[s], least)
+            if got:
+                yield pd.DataFrame(got, columns=["a", "b"])
+
+    dealt = nodes.select(F.explode("prefix").alias("token"), "node", "n", "one", "two")
     width = shuffle_width(nodes.sparkSession)
-    return dealt.repartition(width, "token").sortWithinPartitions("token", "node").mapInPandas(search, "a long, b long, many boolean").distinct()
+    ties = dealt.repartition(width, "token").sortWithinPartitions("token", "node").mapInPandas(search, "a long, b long")
+    return ties.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -334,52 +341,37 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for frame in batches:
-            sets = [shingle_hashes(t if isinstance(t, str) else None, size) for t in frame["text"]]
+            sets = [shingle_set(t if isinstance(t, str) else None, size) for t in frame["text"]]
             yield pd.DataFrame({"node": np.array([set_key(h) for h in sets], np.int64), "h": [h.tobytes() for h in sets]})
 
-    led = docs.select("doc_id", "text").join(nodes.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    led = docs.select("doc_id", "text").join(nodes.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
     return led.mapInPandas(run, "node long, h binary").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("h").alias("h"))
 
 
-def alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The edges (a, b) whose sets (node, h) have a Jaccard similarity of at least ``least``."""
-
-    def run(batches):
-        for frame in batches:
-            ok = []
-            for x, y in zip(frame["x"], frame["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= least * (len(x) + len(y) - both))
-            yield frame.loc[ok, ["a", "b"]]
-
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
-
-
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, node and component_id (smallest doc_id reachable over links) of every row; a link joins two texts whose
-    sets of shingles have a Jaccard similarity of at least ``least``, and none is missed.
+    sets of shingles have a Jaccard similarity of at least ``least``.
 
     Texts with equal sets are one node. Two sets at ``least`` share one of the first (1 - least) n + 1 shingles of
-    each in any common order (prefix filter), so those are dealt by hash and the pairs that meet are verified; in
-    large buckets only a spanning forest of verified links is made.
+    each in any common order (prefix filter), so those are dealt by hash. In a bucket of any size sizes and
+    fingerprints rule pairs out, and a spanning forest of the others ties nodes into families; inside a family every
+    pair meets on its sets. No rows give no rows; texts without words are alike; null ids are not allowed here.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
-    def run(batches):
-        for frame in batches:
-            sets = [shingle_hashes(t if isinstance(t, str) else None, size) for t in frame["text"]]
-            first = [prefix(h, common.value, least).view(np.int64) for h in sets]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "node": np.array([set_key(h) for h in sets], np.int64), "n": [len(h) for h in sets], "prefix": first, "sketch": [sketch(h) for h in sets]})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, node long, n long, prefix array<long>, sketch binary"))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
-    edges = verified(docs, nodes, size, least)
-    nodes = nodes.select("node", "low")
-    found = components(nodes, edges)
-    roots = nodes.join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    def columns(texts):
+        sets = [shingle_set(t, size) for t in texts]
+        wide = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, 2).view(np.int64)
+        first = [prefix(h, common.value, least).view(np.int64) for h in sets]
+        return [np.array([set_key(h) for h in sets], np.int64), np.array([len(h) for h in sets], np.int64), wide[:, 0].copy(), wide[:, 1].copy(), first]
+
+    rows = cut(by_text(docs, columns, "node long, n long, one long, two long, prefix array<long>"))
+    shared = [F.first(c).alias(c) for c in ("n", "one", "two", "prefix")]
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("low"), *shared)
+    links = family_links(docs, nodes.select("node", "low", "n"), cut(candidate_ties(nodes, least)), size, least)
+    lows = nodes.select("node", "low")
+    found = components(lows, links)
+    roots = lows.join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     return rows.select("doc_id", "node").join(roots.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
 
@@ -408,18 +400,18 @@ def grow(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return found
 
 
-def family_links(ties: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def family_links(docs: DataFrame, nodes: DataFrame, ties: DataFrame, size: int, least: float) -> DataFrame:
     """(a, b): verified links that connect all that is linked within the families of the ties (a, b).
 
-    A family of more than ``BLOCK`` members is cut into blocks and every two blocks are grown together, so each
-    pair of members meets in some task and no task holds more than about two blocks.
+    Sets travel once to the task of their family. A family of more than ``BLOCK`` hashes is cut into blocks and every
+    two blocks are grown together, so each pair of members meets in some task and no task holds more than about two.
     """
-    found = cut(components(sets, ties))
-    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    found = components(nodes, ties)
+    members = cut(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).join(nodes, "node"))
+    blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     placed = members.join(blocks, "root").withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
     placed = placed.select("node", "root", "i", F.explode(F.expr("if(blocks = 1, array(0L), filter(sequence(0L, blocks - 1), j -> j <> i))")).alias("j"))
-    dealt = placed.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node").join(sets, "node")
+    dealt = placed.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node").join(sets_of(docs, members, size), "node")
 
     def run(frame):
         node = frame["node"].to_numpy(np.int64)
@@ -429,22 +421,12 @@ def family_links(ties: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("root", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
-    """(a, b): links between the nodes that connect all that is linked."""
-    edges = cut(all_pairs(nodes, least))
-    pairs = cut(plausible(edges.where("not many"), nodes, least))
-    ties = edges.where("many").select("a", "b")
-    wanted = pairs.unionByName(ties).select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
-    sets = cut(sets_of(docs, cut(wanted), size))
-    out = alike(pairs, sets, least)
-    return out if ties.isEmpty() else out.unionByName(family_links(ties, sets, least))
-
-
 def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """The rows, with their columns, that lead their group of near-duplicates (component_id = doc_id).
 
     Links: all pairs whose five-word shingles have a Jaccard similarity of ``least`` or more. Rows that repeat an id
-    share its fate. Rows without an id stay.
+    share its fate. Rows without an id stay. Null, empty and blank texts are one group. No rows give no rows; other
+    columns may have any name.
     """
     got = similar_groups(docs.where("doc_id is not null"), size, least).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(got, "doc_id", "left_anti").select(*docs.columns)

@@ -228,7 +228,7 @@ def test_near_dedup_finds_all_pairs_of_the_contract(spark):
 
 
 def test_large_families_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 60)
+    monkeypatch.setattr(simhash, "BLOCK", 10_000)
     rng = np.random.default_rng(12)
     texts = [t for b in range(2) for t in edited(rng, [f"w{b}x{i}" for i in range(200)], 130, (2, 5))]
     want = jaccard_groups(texts)
