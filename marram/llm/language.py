@@ -5,23 +5,27 @@ the bytes of a window; the maximum of each filter over the window feeds a softma
 filter is a table of 256 rows for each of its offsets, and convolving is adding looked-up rows. A text's class is
 that of the mean logits of its windows, weighted by their bytes.
 
-The network is fitted on the driver on at most ``SAMPLE`` labelled rows (smallest hashes of the id) and on the
-first ``SAMPLE_BYTES`` bytes of each; it has some ten thousand numbers at any scale and travels inside the function.
+The network is fitted on the driver on at most ``SAMPLE`` labelled rows, an equal share of each of at most
+``CLASSES`` languages (smallest hashes of the id), and on ``VIEWS`` windows of each at hashed places of the whole
+text; it has some ten thousand numbers at any scale and travels inside the function.
 """
 
 from __future__ import annotations
 
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import by_text
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 SAMPLE = 2_000
-SAMPLE_BYTES = 1_024
+CLASSES = 256  # languages, the most frequent ones, that can be learned
+VIEWS = 4
 EPOCHS = 8
 CHUNK = 512  # windows scored at a time
 
@@ -97,19 +101,27 @@ def windows(data: bytes) -> np.ndarray:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Net | None:
-    """A network from a bounded sample of the rows with text and label; None if there are none."""
-    labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.substring(text_col, 1, SAMPLE_BYTES).alias("t"), F.col(lang_col).alias("l"))
-    # Only hashes below the one that twice the sample is expected to reach are sorted, so few texts move at any size.
-    n = labelled.count()
-    share = min(1.0, 2 * sample / max(1, n))
-    few = labelled.where(F.xxhash64("i") <= int(2**64 * share) - 2**63 - 1) if share < 1 else labelled
-    rows = few.orderBy(F.xxhash64("i"), "i", "t", "l").limit(sample).collect()
-    rows = [r for r in rows if any(c.isalpha() for c in r["t"])]
-    if not rows:
+    """A network from a bounded sample of the rows with text and label; None if there are none.
+
+    Ties of the hash go by id and text, so equal tables give equal networks; repeated rows are examples as often.
+    """
+    labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    counts = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(CLASSES).collect()
+    if not counts:
         return None
-    classes = sorted({r["l"] for r in rows})
-    xs = [windows(r["t"].encode()[:SAMPLE_BYTES]) for r in rows]
-    y = np.repeat([classes.index(r["l"]) for r in rows], [len(x) for x in xs])
+    quota = max(1, sample // len(counts))
+    # Only hashes below the one that twice the quota is expected to reach are ranked, so few texts move at any size.
+    bound = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(2**63 - 1, int(2**64 * (2 * quota + 20) / r["count"]) - 2**63))])
+    views = F.array(*[F.substring("t", F.lit(1) + F.pmod(F.xxhash64("i", F.lit(k)), F.greatest(F.lit(1), F.char_length("t") - WINDOW)).cast("int"), F.lit(WINDOW)) for k in range(VIEWS)])
+    few = labelled.where(F.xxhash64("i") <= bound[F.col("l")]).select("i", "l", F.array_distinct(views).alias("v"))
+    first = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i", "v")
+    rows = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= quota).select("l", "v").orderBy("l", "v").collect()
+    pairs = [(r["l"], v) for r in rows for v in r["v"] if any(c.isalpha() for c in v)]
+    if not pairs:
+        return None
+    classes = sorted({lang for lang, _ in pairs})
+    xs = [windows(v.encode("utf-8", "replace")[:WINDOW]) for _, v in pairs]
+    y = np.array([classes.index(lang) for lang, _ in pairs])
     return Net(classes).fit(np.concatenate(xs), y)
 
 
@@ -148,38 +160,40 @@ def identify(texts: list[str | None], net: Net | None) -> tuple[list[str], list[
     return [net.classes[b] if k else "und" for b, k in zip(best, known, strict=True)], [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))]
 
 
-def predict(docs: DataFrame, net: Net | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of every row with lang_pred and score. One Arrow batch of rows is in memory at a time."""
-    fields = docs.select(*[F.col(c).alias(c) for c in keep]).schema
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    text_at = "_text"
+def predict(docs: DataFrame, net: Net | None) -> DataFrame:
+    """doc_id, lang_pred and score of every row. One Arrow batch of rows is in memory at a time.
+
+    Null, empty and letterless texts are ``und`` with score 0. Long texts are read to the last byte. Repeated rows
+    are rows. No rows give no rows. Other columns are ignored.
+    """
+    return by_text(docs, lambda texts: list(identify(texts, net)), "lang_pred string, score double")
 
-    def score(batches):
-        for frame in batches:
-            langs, scores = identify([t if isinstance(t, str) else None for t in frame[text_at]], net)
-            yield pd.concat([frame[[*keep]], pd.DataFrame({"lang_pred": langs, "score": scores}, index=frame.index)], axis=1)
 
-    return docs.select(*[F.col(c) for c in keep], F.col(text_col).alias(text_at)).mapInPandas(score, f"{shape}, lang_pred string, score double")
+def held_out():
+    """crc32 of the id as text, mod 5, is 0; false for a null id."""
+    return F.coalesce((F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5) == 0, F.lit(False))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Predictions for every document, learned from those that are not held out (crc32 of the id mod 5 is 0)."""
-    held = (F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5) == 0
-    net = train(docs.where(~held))
-    return predict(docs.select("doc_id", "text"), net).select("doc_id", F.coalesce((F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    """Predictions for every document, learned from those that are not held out."""
+    return predict(docs, train(docs.where(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows, with their columns, whose language is found with a score of at least ``least``.
 
-    Learns from the text and label of all rows but the held-out ones. If there is nothing to learn from, all rows
-    with a letter stay. The ids and texts that go are those of null, letterless or undecided texts.
+    Learns from the text and label of all rows but the held-out ones; without labels every text with a letter stays.
+    Null, letterless and undecided texts go. Columns may have any name and type: rows are filtered in Arrow, as they
+    are.
     """
-    held = (F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5) == 0
-    net = train(docs.where(~held))
+    net = train(docs.where(~held_out()))
     if net is None:
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
-    verdict = predict(docs, net, keep=tuple(docs.columns) if "text" in docs.columns else ("doc_id",))
-    return verdict.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    at = docs.columns.index("text")
 
+    def run(batches):
+        for batch in batches:
+            langs, scores = identify(batch.column(at).to_pylist(), net)
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
 
+    return docs.mapInArrow(run, docs.schema)

@@ -1,8 +1,10 @@
 """Mixing sources to target weights.
 
 Words are counted per source; a source's rate is its target over its size. Every document is emitted floor(rate)
-times, and once more if a draw seeded by (seed, id) falls below the fraction of the rate. The draw depends on
-nothing but the id, so it is the same for any partitioning and rerun.
+times, and once more by a draw seeded by (seed, id, text) whose probability is the fraction of the rate. The draw
+depends on nothing else, so it is the same for any partitioning and rerun. n rows that agree in id, text and source
+share one draw u in [0, 1) and get floor(n * fraction + u) copies more, so that repeats come near the target too; for
+n = 1 that is the single draw.
 """
 
 from __future__ import annotations
@@ -10,18 +12,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut
 
-SEED = "mix-1"
+SEED = "mix-2"
+BROADCAST_SOURCES = 100_000  # rows of the table of sources that may be broadcast
+RUN = 10_000
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def draw(id_col: str, seed: str) -> Column:
-    """Uniform in [0, 1): 32 bits of md5(seed:id)."""
-    key = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def text_hash(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def draw(id_col: Column, hashed: Column, seed: str) -> Column:
+    """Uniform in [0, 1): 32 bits of md5(seed:id:hash of the text)."""
+    key = F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), hashed)
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -52,33 +60,62 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeat: int)
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, id_col: str = "doc_id", seed: str = SEED, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of every document with _size, _source_size, _target and _copies (0 upwards).
+def groups(docs: DataFrame, weights: tuple[int, ...], max_repeat: int, id_col: str, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that agree in id, text and source (id, source, hash, size, n, source_size, target, base, extra), and the targets.
 
-    Null text: size 0. Null source: a source of its own. A source without words has target 0 and rate 0. Ids that
-    repeat draw alike. Rates never exceed ``max_repeat``, so no document is taken more often than that. The
-    per-source table has one row per source; Spark broadcasts it only when its measured size allows, else it joins
-    by source with AQE splitting a hot one.
+    ``base`` copies go to each of the n rows and ``extra`` of them get one more. Null text: size 0. Null source: a
+    source of its own. A source without words has target 0 and rate 0. Rates never exceed ``max_repeat``. Equal rows
+    are counted before the shuffle, so a row that a third of the table repeats stays one number. Texts are read once.
     """
-    sized = docs.select(*[F.col(c) for c in keep], F.col("source").alias("_source"), F.col(id_col).alias("_id"), word_count(F.col("text")).alias("_size"))
-    totals = docs.select(F.col("source"), word_count(F.col("text")).alias("_size")).groupBy("source").agg(F.sum("_size").alias("source_size"))
-    targets = source_targets(totals, weights, max_repeat)
-    targets = targets.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    return (
-        sized.join(targets, F.col("_source").eqNullSafe(F.col("_of")), "left")
-        .withColumn("_rate", rate)
-        .withColumn("_copies", (F.floor("_rate") + (draw("_id", seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long"))
-    )
-
-
-def mix_report(docs: DataFrame) -> DataFrame:
-    """What the mix takes of every document, by row."""
-    taken = (F.col("_size") * F.col("_copies")).alias("taken")
-    return copies(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken, F.col("_copies").alias("copies"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns it came with."""
-    got = copies(docs, id_col=id_col, keep=tuple(docs.columns)).where("_copies > 0")
-    return got.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    read = docs.select(F.col(id_col).alias("id"), F.col("source").alias("source"), text_hash(F.col("text")).alias("hash"), word_count(F.col("text")).alias("size"))
+    counted = cut(read.groupBy("id", "source", "hash").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    totals = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    targets = cut(source_targets(totals, weights, max_repeat))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    out = with_target(counted, targets).withColumn("rate", rate).withColumn("base", F.floor("rate").cast("long"))
+    extra = F.floor(F.col("n") * (F.col("rate") - F.floor("rate")) + draw(F.col("id"), F.col("hash"), seed)).cast("long")
+    return out.withColumn("extra", extra), targets
+
+
+def with_target(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows (with a column source) and their source's source_size and target; the table is broadcast if it is small."""
+    small = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    to = targets.select(F.col("source").alias("_of"), "source_size", "target")
+    return rows.join(F.broadcast(to) if small else to, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+
+
+def mix_report(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = SEED) -> DataFrame:
+    """What the mix takes of every document, by row. No rows give no rows."""
+    got, _ = groups(docs, weights, max_repeat, "doc_id", seed)
+    # Rows of a group are made again in runs, so that no array grows with a group.
+    runs = got.withColumn("lo", F.explode(F.expr(f"sequence(1L, n, {RUN}L)")))
+    rows = runs.withColumn("k", F.explode(F.expr(f"sequence(lo, least(n, lo + {RUN - 1}L))")))
+    taken = F.col("base") + (F.col("k") <= F.col("extra")).cast("long")
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * taken).alias("taken"), taken.alias("copies"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = SEED) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with the columns it came with, whatever their names.
+
+    Texts stay where they are, unless the sources are too many to broadcast: each row gets its own copies beside its
+    text. Only what groups of repeated rows get beyond that is taken from one row of each, by a join on their keys.
+    """
+    got, targets = groups(docs, weights, max_repeat, id_col, seed)
+    many = cut(got.where("n > 1").select(F.struct("id", "source", "hash").alias("key"), "extra"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col(f"row.`{id_col}`").alias("id"), F.col("row.source").alias("source"), text_hash(F.col("row.text")).alias("hash"))
+    rows = with_target(rows, targets)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rows = rows.withColumn("base", F.floor(rate)).withColumn("one", F.floor(rate - F.floor(rate) + draw(F.col("id"), F.col("hash"), seed)))
+    if many.isEmpty():
+        return repeated(rows.withColumn("copies", F.col("base") + F.col("one"))).select("row.*")
+    rows = rows.withColumn("key", F.struct("id", "source", "hash"))
+    joined = rows.join(many, "key", "left")
+    each = repeated(joined.withColumn("copies", F.col("base") + F.when(F.col("extra").isNull(), F.col("one")).otherwise(0))).select("row")
+    lead = joined.where("extra > 0").groupBy("key").agg(F.first("row").alias("row"), F.first("extra").alias("copies"))
+    return each.unionByName(repeated(lead).select("row")).select("row.*")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as its column copies says."""
+    return rows.where("copies > 0").withColumn("lo", F.explode(F.expr(f"sequence(1L, copies, {RUN}L)"))).withColumn("_copy", F.explode(F.expr(f"sequence(lo, least(copies, lo + {RUN - 1}L))")))

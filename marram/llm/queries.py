@@ -48,7 +48,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 #: DuckDB has neither CRC-32 nor XXH64 nor Spark's hash, and no trained models, so only these are given in SQL.
 ORACLES: dict[str, str] = {
-    "op3_mixing": r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    "op3_mixing": r"""WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS h, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
  w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM s),
  c AS (SELECT *, CAST(source_size * 3 AS DOUBLE) / w AS ratio, CAST(sum(source_size) OVER () AS BIGINT) AS total,
@@ -57,7 +57,9 @@ ORACLES: dict[str, str] = {
  l AS (SELECT max(CASE WHEN CAST(total - caps AS DOUBLE) / CAST(rest AS DOUBLE) <= ratio THEN CAST(total - caps AS DOUBLE) / CAST(rest AS DOUBLE) END) AS level FROM c),
  t AS (SELECT source, source_size, least(CAST(source_size * 3 AS DOUBLE), w * coalesce(level, 0.0)) AS target FROM c, l),
  r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-  CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
- SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CAST(u < rate - floor(rate) AS INTEGER) AS BIGINT) AS taken, CAST(floor(rate) + CAST(u < rate - floor(rate) AS INTEGER) AS BIGINT) AS copies FROM r""",
+  count(*) OVER (PARTITION BY doc_id, d.source, h) AS n, row_number() OVER (PARTITION BY doc_id, d.source, h) AS k,
+  CAST('0x' || substr(md5('mix-2:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || h), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+ p AS (SELECT *, CAST(floor(rate) + CAST(k <= floor(n * (rate - floor(rate)) + u) AS INTEGER) AS BIGINT) AS copies FROM r)
+ SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM p""",
 }
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_mixing, op4_quality_rules, op5_neighbours, op6_language_id, op7_simhash, op8_packing, op9_secret_scans, op10_substring_dedup)}

@@ -38,7 +38,7 @@ DIRECT = 4096  # members of a bucket that are compared without splitting it
 SAMPLE = 8000, 200_000  # documents, least and most, that tell common shingles from others
 COMMON = 8  # documents of the sample that hold a common shingle
 FAR, FAR_SHORT, SHORT = 40, 48, 16  # bits of 128 that fingerprints of similar sets differ in at most; that of short sets
-BLOCK = 500_000  # hashes of a family that are held together
+BLOCK = 200_000  # hashes of a family that are held together
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
