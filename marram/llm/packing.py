@@ -1,25 +1,29 @@
 """Packing by lexical retrieval.
 
-Documents are tokenized where they are read and gathered into shards of about ``SHARD_TOKENS`` tokens. Each shard
-has a BM25 inverted index over token ids. The first unused document of a shard seeds a window; the unused documents
-that score highest for the seed fill it. A document that does not fit is cut, and what is left of it opens the next
-window as its seed. Every window is full but for the last of a shard, which is laid out in sequences of powers of
-two, so nothing is padded.
-
-Shards never wait for each other and nothing is shuffled; memory is bounded by a shard and one batch.
+Documents are tokenized where they are read. Their two rarest tokens, by document frequency in the whole corpus, are
+their place in a lexical order of all documents, which is cut into shards of about ``SHARD_TOKENS`` tokens; so
+documents that share a rare token meet in one shard, wherever they were read. A token that leads more documents than
+a shard holds spreads over several by a hash of the row's place, so that equal rows spread too. Each shard has a BM25 inverted index over token ids. The first unused
+document of a shard seeds a window; the unused documents that score highest for the seed fill it. A document that
+does not fit is cut, and what is left of it opens the next window as its seed. Every window is full but for the last
+of a shard, which is laid out in sequences of powers of two, so nothing is padded.
+
+Token ids are written once to the shared checkpoint folder and dealt by shard once; memory is bounded by a shard and
+one batch. The counts that reach the driver have one row per vocabulary entry, whatever the input.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, to_arrow
 
 WINDOW = 4096
 END = 2
@@ -164,8 +168,11 @@ def sequences(total: int, window: int = WINDOW) -> list[int]:
     return ends
 
 
-def lay_out(keys: list, docs: list[np.ndarray], first: int, window: int = WINDOW) -> tuple[pd.DataFrame, int]:
-    """The pieces of one shard, and the number of its sequences."""
+PIECE = (("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()))
+
+
+def lay_out(docs: list[np.ndarray], first: int, window: int = WINDOW) -> tuple[list[tuple], int]:
+    """The pieces (PIECE) of one shard, rows being places in docs, and the number of its sequences."""
     order = arrange(docs, window)
     starts = np.concatenate(([0], np.cumsum([len(docs[d]) for d in order])))
     ends = sequences(int(starts[-1]), window)
@@ -177,39 +184,123 @@ def lay_out(keys: list, docs: list[np.ndarray], first: int, window: int = WINDOW
             while ends[s] <= at:
                 s += 1
             to = min(hi, ends[s])
-            ids = docs[d][at - lo : to - lo]
-            rows.append((keys[d], at - lo, to - at, zlib.crc32(ids.astype("<u4").tobytes()), hi - lo, first + s, at - begin[s]))
+            rows.append((d, at - lo, to - at, hi - lo, first + s, at - begin[s], docs[d][at - lo : to - lo].astype("<u4").tobytes()))
             at = to
-    return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]), len(ends)
+    return rows, len(ends)
+
+
+def tokenized(docs: DataFrame, path: str | None) -> DataFrame:
+    """doc_id, tokens (ids with the end token, little-endian, unsigned, 32 bits) and n, their number."""
+    docs = docs.select("doc_id", "text")
+
+    def run(batches):
+        encode = encoder(path)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                ids = [np.append(g, np.uint32(END)) for g in encode([t or "" for t in part.column(1).to_pylist()])]
+                made = [pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "tokens", "n"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens binary, n long")
+
+
+def frequencies(tokens: DataFrame) -> np.ndarray:
+    """The number of documents that hold each token id, counted in every partition before anything moves."""
+
+    def run(batches):
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                ids = np.unique(np.frombuffer(raw, "<u4"))
+                if len(ids) and ids[-1] >= len(counts):
+                    counts = np.concatenate((counts, np.zeros(int(ids[-1]) + 1 - len(counts), np.int64)))
+                counts[ids] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["id", "n"])
+
+    got = tokens.select("tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row per token id
+    out = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, np.int64)
+    out[got["id"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def placed(tokens: DataFrame) -> DataFrame:
+    """tokens with lead and second, the rarest token ids of each document."""
+    frequency = tokens.sparkSession.sparkContext.broadcast(frequencies(tokens))
+
+    def run(batches):
+        for batch in batches:
+            lead, second = [], []
+            for raw in batch.column(1).to_pylist():
+                ids = np.unique(np.frombuffer(raw, "<u4"))
+                rarity = frequency.value[ids]
+                # A token of one document brings it to no other, so those come last.
+                two = ids[np.lexsort((ids, np.where(rarity > 1, rarity, np.iinfo(np.int64).max)))[:2]]
+                lead.append(int(two[0]))
+                second.append(int(two[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.int64()), pa.array(second, pa.int64())], names=[*batch.schema.names, "lead", "second"])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.mapInArrow(run, f"doc_id {kind}, tokens binary, n long, lead long, second long")
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, and ids (little-endian, 32 bits).
 
-    Null and empty texts are the end token alone. Repeated rows are packed as often as they occur. Ids may be
-    null. Texts are tokenized whole and cut freely. Sequence numbers hold the task in their upper bits. ``path``
-    is the vocabulary file; by default the public one.
+    Null and empty texts are the end token alone. Repeated rows are packed as often as they occur. Ids may be null.
+    Texts are tokenized whole and cut freely. Sequence numbers hold the shard in their upper bits. Other columns are
+    ignored, whatever their names; no rows give no rows. ``path`` is the vocabulary file; by default the public one.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    spark = docs.sparkSession
+    rows = cut(tokenized(docs, path))
+    rows = placed(rows)
+    counts = rows.groupBy("lead").agg(F.sum("n").alias("n")).orderBy("lead").collect()  # a row per token id at most
+    table, at = [], 0
+    for r in counts:
+        table.append((r["lead"], at // shard_tokens, max(1, -(-r["n"] // shard_tokens))))
+        at += r["n"]
+    shards = spark.createDataFrame(table, "lead long, first long, span long")
+    width = max(1, min(at // shard_tokens + 1, 20_000))
+    spread = F.col("first") + F.when(F.col("span") > 1, F.pmod(F.xxhash64("second", F.monotonically_increasing_id()), F.col("span"))).otherwise(0)
+    dealt = rows.join(F.broadcast(shards), "lead").withColumn("shard", spread).select("shard", "lead", "second", "doc_id", "tokens")
+    dealt = dealt.repartition(width, "shard").sortWithinPartitions("shard", "lead", "second", F.xxhash64("tokens"), "doc_id")
+    id_type = to_arrow(docs.schema["doc_id"].dataType)
 
     def run(batches):
-        base, count = TaskContext.get().partitionId() << 40, 0
-        keys, held, tokens = [], [], 0
-        encode = encoder(path)
-        for frame in batches:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            ids = list(frame["doc_id"])
-            for a in range(0, len(texts), 256):
-                for key, got in zip(ids[a : a + 256], encode(texts[a : a + 256]), strict=True):
-                    keys.append(key)
-                    held.append(np.append(got, np.uint32(END)))
-                    tokens += len(held[-1])
-                if tokens >= shard_tokens:
-                    out, n = lay_out(keys, held, base + count, window)
-                    count += n
-                    yield out
-                    keys, held, tokens = [], [], 0
-        if held:
-            yield lay_out(keys, held, base + count, window)[0]
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        ids, held, tokens, shard, first = [], [], 0, None, 0
+
+        def emit():
+            nonlocal ids, held, tokens, first
+            if held:
+                got, n = lay_out(held, first, window)
+                first += n
+                keys = pa.concat_arrays(ids)
+                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*got, strict=True), PIECE, strict=True)]
+                yield pa.RecordBatch.from_arrays([keys.take(columns[0]), *columns[1:]], names=["doc_id", *[n for n, _ in PIECE[1:]]])
+            ids, held, tokens = [], [], 0
+
+        for batch in batches:
+            of = np.array(batch.column(0).to_pylist(), np.int64)
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)])) if len(of) else [0]
+            for lo, hi in pairwise(edges):
+                if of[lo] != shard:
+                    yield from emit()
+                    shard, first = int(of[lo]), int(of[lo]) << 24
+                for a in range(lo, hi, 1024):
+                    part = batch.slice(a, min(1024, hi - a))
+                    ids.append(part.column(1).cast(id_type))
+                    for raw in part.column(2).to_pylist():
+                        held.append(np.frombuffer(raw, "<u4"))
+                        tokens += len(held[-1])
+                    if tokens >= 2 * shard_tokens:
+                        yield from emit()
+        yield from emit()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return dealt.select("shard", "doc_id", "tokens").mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """The pieces with the CRC-32 of their ids in place of these."""
+    return pack(docs).select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -35,7 +35,7 @@ def op7_simhash(spark, sf_dir):
 
 
 def op8_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.report(table(spark, sf_dir, "documents"))
 
 
 def op9_secret_scans(spark, sf_dir):

@@ -238,7 +238,7 @@ def test_large_families_lose_no_link(spark, monkeypatch):
 
 
 def test_packing_round_trip(docs, none, rows):
-    pieces = packing.pack(docs).toPandas()
+    pieces = packing.report(docs).toPandas()
     assert len(packing.pack(none).collect()) == 0
     ends = pieces.sort_values(["sequence_id", "offset"])
     for _, g in ends.groupby("sequence_id"):
