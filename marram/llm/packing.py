@@ -1,8 +1,8 @@
 """Packing by lexical retrieval.
 
-Documents are tokenized where they are read. Their two rarest tokens, by document frequency in the whole corpus, are
-their place in a lexical order of all documents, which is cut into shards of about ``SHARD_TOKENS`` tokens; so
-documents that share a rare token meet in one shard, wherever they were read. A token that leads more documents than
+Documents are tokenized where they are read. Their two highest token ids, in a vocabulary learned by merges the
+rarest, are their place in a lexical order of all documents, which is cut into shards of about ``SHARD_TOKENS``
+tokens; so documents that share a rare token meet in one shard, wherever they were read. A token that leads more than
 a shard holds spreads over several by a hash of the row's place, so that equal rows spread too. Each shard has a BM25 inverted index over token ids. The first unused
 document of a shard seeds a window; the unused documents that score highest for the seed fill it. A document that
 does not fit is cut, and what is left of it opens the next window as its seed. Every window is full but for the last
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,40 +51,59 @@ class Encoder:
     The tokenizer cuts a text into pieces that it encodes one by one, so ids of pieces can be kept. New pieces go
     to it many at a time with spaces between them, and their ids are told apart by the ends of words. That way is
     taken for texts of characters below U+0250 without special tokens, U+0130 or U+001C to U+001F; all others go
-    to the tokenizer whole.
+    to the tokenizer whole. The memo numbers the pieces; ``tokens``, ``starts`` and ``sizes`` hold their ids.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
         self.pieces = narrow_pieces()
         self.plain = re.compile(r"[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         self.ends[[i for token, i in self.whole.get_vocab().items() if token.endswith(WORD_END)]] = True
+        self.forget()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Puts the ids of new pieces into the memo."""
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.tokens, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encoded(self, pieces: list[str]) -> list[np.ndarray]:
         ids = np.array(self.whole.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(pieces):  # a vocabulary without ends of words: one by one
-            self.memo |= {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(pieces, self.whole.encode_batch_fast(pieces, add_special_tokens=False), strict=True)}
-            return
-        data = ids.tobytes()
-        self.memo.update((w, data[4 * a : 4 * b]) for w, a, b in zip(pieces, [0, *ends], ends, strict=False))
+            return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.split(ids, ends[:-1])
+
+    def learn(self, pieces: list[str]) -> None:
+        """Puts the ids of new pieces into the memo."""
+        new = [ids for i in range(0, len(pieces), 512) for ids in self.encoded(pieces[i : i + 512])]
+        sizes = np.array([len(x) for x in new], np.int64)
+        self.starts = np.concatenate((self.starts, len(self.tokens) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.tokens = np.concatenate((self.tokens, *new))
+        self.memo.update(zip(pieces, range(len(self.memo), len(self.memo) + len(pieces)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.plain.fullmatch(t) is not None and "<|" not in t for t in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        cut = [self.pieces.findall(t.lower()) if p else None for t, p in zip(texts, plain, strict=True)]
-        new = [w for w in set().union(*(words for words in cut if words)) if w not in self.memo]
-        for i in range(0, len(new), 512):
-            self.learn(new[i : i + 512])
+            self.forget()
+        cut = [self.pieces.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p]
+        sizes = np.array([len(c) for c in cut], np.int64)
+        at = np.fromiter(map(self.memo.get, chain.from_iterable(cut), repeat(-1)), np.int64, int(sizes.sum()))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            flat = list(chain.from_iterable(cut))
+            unknown = [flat[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(unknown)))
+            at[missing] = [self.memo[w] for w in unknown]
+        n = self.sizes[at]
+        ends = np.cumsum(n)
+        ids = self.tokens[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[np.cumsum(sizes)]
+        known = iter(np.split(ids, bounds[:-1])) if len(sizes) else iter(())
         direct = iter(self.whole.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        ids = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(ids, words)), np.uint32) if words is not None else np.array(next(direct).ids, np.uint32) for words in cut]
+        return [next(known) if p else np.array(next(direct).ids, np.uint32) for p in plain]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -190,8 +209,9 @@ def lay_out(docs: list[np.ndarray], first: int, window: int = WINDOW) -> tuple[l
 
 
 def tokenized(docs: DataFrame, path: str | None) -> DataFrame:
-    """doc_id, tokens (ids with the end token, little-endian, unsigned, 32 bits) and n, their number."""
+    """doc_id, tokens (ids with the end token, little-endian,), n, and the two highest ids."""
     docs = docs.select("doc_id", "text")
+    code = token_code(path)
 
     def run(batches):
         encode = encoder(path)
@@ -199,50 +219,17 @@ def tokenized(docs: DataFrame, path: str | None) -> DataFrame:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 ids = [np.append(g, np.uint32(END)) for g in encode([t or "" for t in part.column(1).to_pylist()])]
-                made = [pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "tokens", "n"])
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens binary, n long")
-
+                lead = [int(i.max()) for i in ids]
+                second = [int(np.where(i == m, 0, i).max()) for i, m in zip(ids, lead, strict=True)]
+                made = [pa.array([i.astype(code).tobytes() for i in ids], pa.binary()), *[pa.array(x, pa.int64()) for x in ([len(i) for i in ids], lead, second)]]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "tokens", "n", "lead", "second"])
 
-def frequencies(tokens: DataFrame) -> np.ndarray:
-    """The number of documents that hold each token id, counted in every partition before anything moves."""
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens binary, n long, lead long, second long")
 
-    def run(batches):
-        counts = np.zeros(0, np.int64)
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                ids = np.unique(np.frombuffer(raw, "<u4"))
-                if len(ids) and ids[-1] >= len(counts):
-                    counts = np.concatenate((counts, np.zeros(int(ids[-1]) + 1 - len(counts), np.int64)))
-                counts[ids] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["id", "n"])
-
-    got = tokens.select("tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row per token id
-    out = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, np.int64)
-    out[got["id"].to_numpy()] = got["n"].to_numpy()
-    return out
-
-
-def placed(tokens: DataFrame) -> DataFrame:
-    """tokens with lead and second, the rarest token ids of each document."""
-    frequency = tokens.sparkSession.sparkContext.broadcast(frequencies(tokens))
-
-    def run(batches):
-        for batch in batches:
-            lead, second = [], []
-            for raw in batch.column(1).to_pylist():
-                ids = np.unique(np.frombuffer(raw, "<u4"))
-                rarity = frequency.value[ids]
-                # A token of one document brings it to no other, so those come last.
-                two = ids[np.lexsort((ids, np.where(rarity > 1, rarity, np.iinfo(np.int64).max)))[:2]]
-                lead.append(int(two[0]))
-                second.append(int(two[-1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.int64()), pa.array(second, pa.int64())], names=[*batch.schema.names, "lead", "second"])
 
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.mapInArrow(run, f"doc_id {kind}, tokens binary, n long, lead long, second long")
+def token_code(path: str | None) -> str:
+    """How tokens are stored on the way: two bytes where the vocabulary allows."""
+    return "<u2" if encoder(path).whole.get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -253,8 +240,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
     ignored, whatever their names; no rows give no rows. ``path`` is the vocabulary file; by default the public one.
     """
     spark = docs.sparkSession
+    code = token_code(path)
     rows = cut(tokenized(docs, path))
-    rows = placed(rows)
     counts = rows.groupBy("lead").agg(F.sum("n").alias("n")).orderBy("lead").collect()  # a row per token id at most
     table, at = [], 0
     for r in counts:
@@ -291,7 +278,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
                     part = batch.slice(a, min(1024, hi - a))
                     ids.append(part.column(1).cast(id_type))
                     for raw in part.column(2).to_pylist():
-                        held.append(np.frombuffer(raw, "<u4"))
+                        held.append(np.frombuffer(raw, code).astype(np.uint32))
                         tokens += len(held[-1])
                     if tokens >= 2 * shard_tokens:
                         yield from emit()
