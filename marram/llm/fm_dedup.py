@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import WIDTH, Words, remove
+from .repeats import WIDTH, Words, digest, remove
 
 
 class Wavelet:
@@ -133,5 +133,4 @@ def search(generations: list[tuple[list[bytes], np.ndarray]]) -> list[tuple[np.n
 
 
 def report(docs: DataFrame) -> DataFrame:
-    got = remove(docs, Words, search)
-    return got.select("doc_id", got["n"].alias("n_words"), "n_removed", "kept_sha256")
+    return digest(remove(docs, Words, search), "n_words").drop("n_spans")

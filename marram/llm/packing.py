@@ -28,6 +28,7 @@ from .common import cut, to_arrow
 WINDOW = 4096
 END = 2
 SHARD_TOKENS = 1_000_000
+TASK_SHARDS = 4  # shards that a task lays out one after another, about
 MEMO = 1_000_000
 K1, B = 1.2, 0.75
 VOCABULARY = "word_bpe_49k.json"
@@ -68,17 +69,19 @@ class Encoder:
         self.memo: dict[str, int] = {}
         self.tokens, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encoded(self, pieces: list[str]) -> list[np.ndarray]:
+    def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces one after another, and how many each has."""
         ids = np.array(self.whole.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(pieces):  # a vocabulary without ends of words: one by one
-            return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
-        return np.split(ids, ends[:-1])
+        if len(ends) == len(pieces):
+            return ids, np.diff(ends, prepend=0)
+        each = [e.ids for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]  # no ends of words: one by one
+        return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
 
     def learn(self, pieces: list[str]) -> None:
         """Puts the ids of new pieces into the memo."""
-        new = [ids for i in range(0, len(pieces), 512) for ids in self.encoded(pieces[i : i + 512])]
-        sizes = np.array([len(x) for x in new], np.int64)
+        new, sizes = zip(*[self.encoded(pieces[i : i + 512]) for i in range(0, len(pieces), 512)], strict=True)
+        sizes = np.concatenate(sizes)
         self.starts = np.concatenate((self.starts, len(self.tokens) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
         self.tokens = np.concatenate((self.tokens, *new))
@@ -216,8 +219,8 @@ def tokenized(docs: DataFrame, path: str | None) -> DataFrame:
     def run(batches):
         encode = encoder(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
                 ids = [np.append(g, np.uint32(END)) for g in encode([t or "" for t in part.column(1).to_pylist()])]
                 lead = [int(i.max()) for i in ids]
                 second = [int(np.where(i == m, 0, i).max()) for i, m in zip(ids, lead, strict=True)]
@@ -248,7 +251,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
         table.append((r["lead"], at // shard_tokens, max(1, -(-r["n"] // shard_tokens))))
         at += r["n"]
     shards = spark.createDataFrame(table, "lead long, first long, span long")
-    width = max(1, min(at // shard_tokens + 1, 20_000))
+    width = max(1, min(at // (TASK_SHARDS * shard_tokens) + 1, 20_000))
     spread = F.col("first") + F.when(F.col("span") > 1, F.pmod(F.xxhash64("second", F.monotonically_increasing_id()), F.col("span"))).otherwise(0)
     dealt = rows.join(F.broadcast(shards), "lead").withColumn("shard", spread).select("shard", "lead", "second", "doc_id", "tokens")
     dealt = dealt.repartition(width, "shard").sortWithinPartitions("shard", "lead", "second", F.xxhash64("tokens"), "doc_id")

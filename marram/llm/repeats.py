@@ -31,7 +31,8 @@ from .common import shuffle_width
 WIDTH = 50
 UNIT_BYTES = 6_000_000
 SHARD_BYTES = 6_000_000
-GENERATIONS = 8
+GENERATIONS = 8  # batches by doc_id; their number changes the work and not the result
+PARTITION_BYTES = 24_000_000  # of text that a task takes, unit by unit
 CHUNK = 1 << 18  # symbols hashed at a time
 NONE = np.iinfo(np.int64).max
 ODD = 0x9E3779B97F4A7C15
@@ -163,11 +164,9 @@ class Unit:
 
     def __init__(self, frame: pd.DataFrame, view: type, shards: int):
         self.low: dict[str, int] = {}
-        for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-            if doc == doc and doc is not None:
-                text = text if isinstance(text, str) else ""
-                doc = int(doc)
-                self.low[text] = min(doc, self.low.get(text, doc))
+        for doc, text in zip(frame["doc_id"].tolist(), frame["text"], strict=True):
+            text = text if isinstance(text, str) else ""
+            self.low[text] = min(doc, self.low.get(text, doc))
         self.texts = sorted(self.low)  # rows arrive in any order, and every pass must number contexts alike
         self.views = [view(t) for t in self.texts]
         self.ids = np.array([self.low[t] for t in self.texts], np.int64)
@@ -257,21 +256,20 @@ Index = Callable[[list[tuple[list[bytes], np.ndarray]]], list[tuple[np.ndarray,
 
 
 def remove(docs: DataFrame, view: type, index: Index) -> DataFrame:
-    """doc_id, n (symbols), n_removed, n_spans and kept_sha256 of every row.
+    """doc_id, n (symbols), spans (array of struct(start, end) of removed symbols), and kept, the bytes that are left.
 
     A row loses the symbols of its windows that a smaller doc_id holds. Null texts are empty. Rows without an id
     neither lose nor take. Rows that repeat an id do not cover each other. Equal texts are worked on once in each
-    unit. Other columns are ignored; no rows give no rows.
+    unit. Long texts are read whole. Other columns are ignored, whatever their names; no rows give no rows.
     """
-    import hashlib
-
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    nameless, docs = docs.where("doc_id is null"), docs.where("doc_id is not null")  # ids beside nulls would not stay exact in pandas
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     marks = sorted(set(docs.approxQuantile("doc_id", [i / GENERATIONS for i in range(1, GENERATIONS)], 0.01)))
     subs = max(1, -(-total // (UNIT_BYTES * GENERATIONS)))
     shards = max(4, -(-total // SHARD_BYTES))
-    parts = shuffle_width(spark)
+    parts = max(shuffle_width(spark), -(-total // PARTITION_BYTES))
     generation = sum(((F.col("doc_id") > F.lit(int(m))).cast("int") for m in marks), F.lit(0))
     unit = F.coalesce(generation, F.lit(0)) * F.lit(subs) + F.pmod(F.xxhash64("doc_id"), F.lit(subs))
     units = docs.select(unit.cast("long").alias("unit"), "doc_id", "text").repartition(parts, "unit")
@@ -374,26 +372,38 @@ def remove(docs: DataFrame, view: type, index: Index) -> DataFrame:
         depth = np.cumsum(edge)
         for t, v in enumerate(u.views):
             gone = depth[base[t] : base[t] + v.n] > 0
-            spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            outcome[u.texts[t]] = (v.n, int(gone.sum()), spans, hashlib.sha256(v.kept(~gone) if gone.any() else v.data).hexdigest())
-        rows, empty = [], hashlib.sha256(b"").hexdigest()
-        for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+            outcome[u.texts[t]] = (v.n, edges_of(gone), v.kept(~gone) if gone.any() else v.data)
+        rows = []
+        for doc, text in zip(frame["doc_id"].tolist(), frame["text"], strict=True):
             text = text if isinstance(text, str) else ""
-            if doc != doc or doc is None:
-                v = view(text)
-                rows.append((None, v.n, 0, 0, hashlib.sha256(v.data).hexdigest()))
-                continue
-            n, gone, spans, sha = outcome[text]
-            if int(doc) > u.low[text] and n >= WIDTH:  # the unit holds the whole text under a smaller id
-                gone, spans, sha = n, 1, empty
-            rows.append((int(doc), n, gone, spans, sha))
-        return pd.DataFrame(rows, columns=["doc_id", "n", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+            n, spans, kept = outcome[text]
+            if doc > u.low[text] and n >= WIDTH:  # the unit holds the whole text under a smaller id
+                spans, kept = [0, n], b""
+            rows.append((doc, n, spans, kept))
+        return pd.DataFrame(rows, columns=["doc_id", "n", "edges", "kept"])
+
+    def whole(batches):
+        for frame in batches:
+            views = [view(t if isinstance(t, str) else "") for t in frame["text"]]
+            yield pd.DataFrame({"n": [v.n for v in views], "kept": [v.data for v in views]})
 
     sent = units.groupBy("unit").applyInPandas(keys, mail)
     known = sent.repartition(parts, "shard").groupBy("shard").applyInPandas(shared, mail).repartition(parts, "unit")
     asked = units.groupBy("unit").cogroup(known.groupBy("unit")).applyInPandas(contexts, mail)
     found = asked.repartition(parts, "shard").groupBy("shard").applyInPandas(searched, mail)
     replies = known.unionByName(found.repartition(parts, "unit"))
-    return units.groupBy("unit").cogroup(replies.groupBy("unit")).applyInPandas(resolve, "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string")
+    named = units.groupBy("unit").cogroup(replies.groupBy("unit")).applyInPandas(resolve, "doc_id long, n long, edges array<long>, kept binary")
+    others = nameless.select("text").mapInPandas(whole, "n long, kept binary").select(F.lit(None).cast("long").alias("doc_id"), "n", F.array().cast("array<long>").alias("edges"), "kept")
+    spans = F.expr("transform(sequence(1, cast(size(edges) / 2 as int)), i -> struct(edges[2 * i - 2] as start, edges[2 * i - 1] as end))")
+    return named.unionByName(others).select("doc_id", "n", F.when(F.size("edges") > 0, spans).otherwise(F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("spans"), "kept")
+
+
+def edges_of(gone: np.ndarray) -> list[int]:
+    """Start and end of every run of true values, one after another."""
+    return np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist() if gone.any() else []
 
 
+def digest(removed: DataFrame, n: str) -> DataFrame:
+    """doc_id, n under its name, n_removed, n_spans and kept_sha256."""
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return removed.select("doc_id", F.col("n").alias(n), lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import NONE, WIDTH, Bytes, remove
+from .repeats import NONE, WIDTH, Bytes, digest, remove
 
 KIND = np.dtype(f"S{WIDTH}")
 
@@ -81,5 +81,4 @@ def search(generations: list[tuple[list[bytes], np.ndarray]]) -> list[tuple[np.n
 
 
 def report(docs: DataFrame) -> DataFrame:
-    got = remove(docs, Bytes, search)
-    return got.select("doc_id", got["n"].alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+    return digest(remove(docs, Bytes, search), "n_bytes")

@@ -276,3 +276,120 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
         hits.append(len(set(want) & set(g["vec_id"])) / 20)
     assert np.mean(hits) >= 0.9
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+BIG = 2**53
+
+
+def test_large_ids_beside_a_null_stay_exact(spark):
+    """Odd ids above 2**53, which a double cannot hold, in every operator that goes through Python."""
+    texts = ["the same words again and again " * 12 + f"tail {i % 3}" for i in range(40)]
+    ids = [BIG + 1 + i for i in range(40)]
+    df = spark.createDataFrame([*zip(ids, texts, ["en"] * 40, strict=True), (None, texts[0], "en")], "doc_id long, text string, lang string").coalesce(1)
+    for report in (suffix_dedup.report, fm_dedup.report, language.report, simhash.report, packing.report):
+        got = {r["doc_id"] for r in report(df).select("doc_id").collect()}
+        assert got == {*ids, None}, report
+    removed_of = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.report(df).collect()}
+    assert removed_of[BIG + 1] == 0 and removed_of[None] == 0 and all(removed_of[i] for i in ids[1:])
+
+
+def test_clashing_names_survive_every_stage(spark):
+    names = ["score", "lang_pred", "_size", "_rate", "_key", "_base", "live", "row", "key", "size", "copies", "fp", "node", "component_id", "shard", "tokens", "lo"]
+    rows = [(i, f"{'some words that differ ' * 3} {i} " + " ".join(f"w{i}x{j}" for j in range(60)), "en", "s", 5, *range(len(names))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    want = {tuple(range(len(names)))}
+    for stage in (language.keep_identified, simhash.keep_first, secrets.redact, mixing.mix):
+        got = stage(df)
+        assert got.columns == df.columns
+        assert {tuple(r[n] for n in names) for r in got.collect()} == want, stage
+    assert packing.pack(df).count() >= 30
+
+
+def test_mixing_meets_targets_with_null_and_repeated_ids(spark):
+    rows = [(None, f"one two three {i} five", f"s{i % 3 if i % 10 else 0}") for i in range(3000)] + [(7, "the same text of a hot row", "s1")] * 1500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(df).groupBy("target").agg({"taken": "sum"}).collect()
+    for target, taken in got:
+        assert abs(taken - target) < 0.06 * target
+    mixed = mixing.mix(df).groupBy("source").count().collect()
+    again = mixing.mix(df.repartition(5)).groupBy("source").count().collect()
+    assert sorted(mixed) == sorted(again)
+    assert mixing.mix(df).count() == mixing.mix_report(df).agg({"copies": "sum"}).first()[0]
+
+
+def test_removal_keeps_text_and_spans(spark):
+    shared = "this passage of more than fifty bytes is in both of the documents "
+    df = spark.createDataFrame([(1, "a " + shared), (2, "été " + shared + "end")], "doc_id long, text string")
+    from marram.llm.repeats import Bytes, remove
+
+    got = {r["doc_id"]: r for r in remove(df, Bytes, suffix_dedup.search).collect()}
+    text = ("été " + shared + "end").encode()
+    (span,) = got[2]["spans"]
+    assert bytes(got[2]["kept"]) == text[: span["start"]] + text[span["end"] :] and got[1]["spans"] == []
+    assert span["start"] == 5 and text[span["end"] :] == b"end"
+
+
+def test_owners_tell_examples_from_live_values(spark):
+    value, mine = "abcdef0123456789abcdef0123456789", "fedcba9876543210fedcba9876543210"
+    rows = [(i, f"x {value} y", f"owner{i % 4}") for i in range(8)] + [(20, f"x {mine} y", "me"), (21, f"again {mine}", "me"), (22, f"{mine}", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_hex"], r["n_live"], r["n_example"]) for r in secrets.report(df).collect()}
+    assert all(got[i] == (1, 0, 1) for i in range(8)) and all(got[i] == (1, 1, 0) for i in (20, 21, 22))
+    kept = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert kept[0] == rows[0][1] and kept[20] == "x [SECRET] y"
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join("%032x" % i for i in range(3000))
+    df = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    r = secrets.report(df).first()
+    want = ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(3000))
+    assert r["n_hex"] == 3000 and r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_quality_score_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join([*rng.choice(words, 80), *(["vile", "foul"] if i % 10 == 9 else [])]), 1, int(i % 10 == 9)) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    size = 4096
+    b = spark.createDataFrame([(r[1].split(),) for r in rows], "w array<string>").select(*quality.buckets("w", size)).collect()
+    grams = [[*x[0], *x[1]] for x in b]
+    raw, good = np.zeros(size), np.zeros(size)
+    held = [zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows]
+    for g, r, h in zip(grams, rows, held, strict=True):
+        raw += np.bincount(g, minlength=size)
+        if not r[3] and not h:
+            good += np.bincount(g, minlength=size)
+    w = np.minimum(0, np.log((good + quality.PRIOR) / (good.sum() / raw.sum() * raw + quality.PRIOR)) + quality.SLACK)
+    want = np.array([w[g].mean() for g in grams])
+    calibration = sorted(s for s, r, h in zip(want, rows, held, strict=True) if h and not r[3])
+    least = calibration[int(len(calibration) * quality.LOSS)]
+    got = {r["doc_id"]: r for r in quality.score(docs, labels, size).collect()}
+    assert np.allclose([got[r[0]]["score"] for r in rows], want, atol=1e-5)
+    assert all(got[r[0]]["kept"] == (s >= least - 1e-9) for r, s in zip(rows, want, strict=True) if abs(s - least) > 1e-4)
+    assert not any(got[r[0]]["kept"] for r in rows if r[3])
+
+
+def test_shards_move_little(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "cast(id as string) as text")
+    before = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, 8).collect()}
+    after = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, 9).collect()}
+    moved = [i for i in before if before[i] != after[i]]
+    assert len(moved) < 0.25 * len(before) and sum(after[i] == 8 for i in moved) > 0.6 * len(moved)
+
+
+def test_packing_order_is_by_bm25():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 60, int(rng.integers(5, 30))).astype(np.uint32) for _ in range(40)]
+    df = {t: sum(t in d for d in docs) for t in range(60)}
+    mean = np.mean([len(d) for d in docs])
+
+    def bm25(q, d):
+        tf = [(t, int((d == t).sum())) for t in set(q.tolist()) if (d == t).any()]
+        return sum(np.log1p((40 - df[t] + 0.5) / (df[t] + 0.5)) * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t, n in tf)
+
+    order, index = packing.arrange(docs, 10_000), packing.Index(docs)
+    want = sorted(range(1, 40), key=lambda i: (-bm25(docs[0], docs[i]), i))
+    assert np.allclose(index.scores(0), [bm25(docs[0], d) for d in docs]) and order == [0, *want]
