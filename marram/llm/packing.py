@@ -28,7 +28,7 @@ from .common import cut, to_arrow
 WINDOW = 4096
 END = 2
 SHARD_TOKENS = 1_000_000
-TASK_SHARDS = 4  # shards that a task lays out one after another, about
+TASK_SHARDS = 3  # shards that a task lays out one after another, about
 MEMO = 1_000_000
 K1, B = 1.2, 0.75
 VOCABULARY = "word_bpe_49k.json"
@@ -219,8 +219,8 @@ def tokenized(docs: DataFrame, path: str | None) -> DataFrame:
     def run(batches):
         encode = encoder(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
                 ids = [np.append(g, np.uint32(END)) for g in encode([t or "" for t in part.column(1).to_pylist()])]
                 lead = [int(i.max()) for i in ids]
                 second = [int(np.where(i == m, 0, i).max()) for i, m in zip(ids, lead, strict=True)]
