@@ -217,14 +217,19 @@ def tokenized(docs: DataFrame, path: str | None) -> DataFrame:
     code = token_code(path)
 
     def run(batches):
-        encode = encoder(path)
+        encode, end = encoder(path), np.array([END], np.uint32)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                ids = [np.append(g, np.uint32(END)) for g in encode([t or "" for t in part.column(1).to_pylist()])]
-                lead = [int(i.max()) for i in ids]
-                second = [int(np.where(i == m, 0, i).max()) for i, m in zip(ids, lead, strict=True)]
-                made = [pa.array([i.astype(code).tobytes() for i in ids], pa.binary()), *[pa.array(x, pa.int64()) for x in ([len(i) for i in ids], lead, second)]]
+                ids = encode([t or "" for t in part.column(1).to_pylist()])
+                flat = np.concatenate([x for g in ids for x in (g, end)])
+                n = np.array([len(g) + 1 for g in ids], np.int64)
+                starts = np.cumsum(n) - n
+                lead = np.maximum.reduceat(flat, starts)
+                second = np.maximum.reduceat(np.where(flat == np.repeat(lead, n), 0, flat), starts)
+                bounds = np.append(starts, len(flat)).astype(np.int32) * np.dtype(code).itemsize
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(flat.astype(code).tobytes())])
+                made = [packed, *[pa.array(x.astype(np.int64)) for x in (n, lead, second)]]
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "tokens", "n", "lead", "second"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens binary, n long, lead long, second long")
