@@ -393,3 +393,31 @@ def test_packing_order_is_by_bm25():
     order, index = packing.arrange(docs, 10_000), packing.Index(docs)
     want = sorted(range(1, 40), key=lambda i: (-bm25(docs[0], docs[i]), i))
     assert np.allclose(index.scores(0), [bm25(docs[0], d) for d in docs]) and order == [0, *want]
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_neighbours_split_trees_and_still_find(spark, clusters, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 500)
+    rng = np.random.default_rng(9)
+    n, d = 20_000, 16
+    x = rng.normal(size=(n, d))
+    if clusters:
+        x = 4 * rng.normal(size=(clusters, d))[rng.integers(0, clusters, n)] + 0.3 * x
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, every=200).toPandas()
+    assert set(got["query_id"]) == set(range(0, n, 200)) and (got.groupby("query_id").size() == 20).all()
+    hits = []
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert np.allclose(g["score"], s[g["vec_id"]])
+        hits.append(len(set(np.argsort(-s)[:20]) & set(g["vec_id"])) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_neighbours_of_a_repeated_id(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(60, 6))
+    df = spark.createDataFrame([*[(i, v.tolist()) for i, v in enumerate(x)], (20, x[3].tolist()), (1, x[7].tolist())], "vec_id long, embedding array<double>")
+    got = neighbours.search(df).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 20, 20: 40, 40: 20}
