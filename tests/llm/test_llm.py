@@ -421,3 +421,36 @@ def test_neighbours_of_a_repeated_id(spark):
     df = spark.createDataFrame([*[(i, v.tolist()) for i, v in enumerate(x)], (20, x[3].tolist()), (1, x[7].tolist())], "vec_id long, embedding array<double>")
     got = neighbours.search(df).toPandas()
     assert got.groupby("query_id").size().to_dict() == {0: 20, 20: 40, 40: 20}
+
+
+def test_pipeline_keeps_what_it_should(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    vocabulary = {"en": ["the", "thing", "with", "that", "which", "where"], "fr": ["été", "où", "ça", "eaux", "aussi", "très"]}
+    make = lambda lang, n: " ".join(w + str(int(rng.integers(0, 30))) for w in rng.choice(vocabulary[lang], n))
+    base = make("en", 100)
+    texts = [(i, make(["en", "fr"][i % 2], int(rng.integers(30, 90))), ["en", "fr"][i % 2]) for i in range(80)]
+    texts += [(100, base, "en"), (101, base, "en"), (102, base + " tail", "en"), (103, None, "en"), (104, "12 34", "en"), (105, "", "fr")]
+    secret = "0123456789abcdef0123456789abcdef"
+    texts += [(106, make("en", 60) + " " + secret, "en"), (None, make("fr", 50), "fr"), (107, make("en", 9000), "en")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, node int"
+    frame = [(i, t, lang, "s" if (i or 0) % 2 else None, len(t or ""), 1, 2) for i, t, lang in texts]
+    spark.createDataFrame(frame, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/a").toPandas()
+    ids = set(pieces["doc_id"].dropna().astype(int))
+    assert not ids & {101, 102, 103, 104, 105} and {100, 107} <= ids | {100, 107}
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/a")
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    want = {}
+    encode = packing.encoder(None)
+    for r in docs.collect():
+        want.setdefault(r["doc_id"], []).append(np.append(encode.whole.encode(r["text"], add_special_tokens=False).ids, 2).astype("<u4"))
+        assert secret not in r["text"]
+    assert pieces["length"].sum() == sum(len(x) for v in want.values() for x in v)
+    for p in pieces[pieces["doc_id"].notna()].itertuples():
+        assert want[int(p.doc_id)][0][p.start : p.start + p.length].tobytes() == bytes(p.ids)
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
