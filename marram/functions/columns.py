@@ -20,10 +20,23 @@ def clean(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def both(x: str, y: str) -> tuple[Column, Column]:
+    """x and y, each null where either is: the complete pairs."""
+    whole = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return F.when(whole, F.col(x)), F.when(whole, F.col(y))
+
+
 def pearson(x: str, y: str) -> Column:
-    """r, null for a constant column or fewer than two rows."""
-    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
-    return F.when((sx > 1e-12) & (sy > 1e-12), F.covar_pop(x, y) / (sx * sy))
+    """r over the complete pairs, null for a constant column or fewer than two pairs."""
+    a, b = both(x, y)
+    sx, sy = F.stddev_pop(a), F.stddev_pop(b)
+    return F.when((sx > 1e-12) & (sy > 1e-12), F.covar_pop(a, b) / (sx * sy))
+
+
+def cosine(x: str, y: str) -> Column:
+    """Over the complete pairs."""
+    a, b = both(x, y)
+    return ratio(F.sum(a * b), F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(b * b)))
 
 
 def average_rank(order: str, *by: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.functions.columns import average_rank, pearson, ratio
+from marram.functions.columns import average_rank, both, cosine, pearson, ratio
 
 
 def correlation_map(images: DataFrame) -> DataFrame:
@@ -13,9 +13,18 @@ def correlation_map(images: DataFrame) -> DataFrame:
 
 
 def rank_correlation_map(images: DataFrame) -> DataFrame:
-    """Spearman with average ranks on both sides."""
-    ranked = images.withColumn("value", average_rank("value", "dataset", "voxel")).withColumn("outcome", average_rank("outcome", "dataset", "voxel"))
-    return correlation_map(ranked)
+    """Spearman with average ranks on both sides, over the subjects that have a value at the voxel.
+
+    Where a dataset has no holes, the outcome's ranks are the same at every voxel: they are made once, on the
+    subjects, and joined. Datasets with holes are ranked voxel by voxel.
+    """
+    people = images.groupBy("dataset", "subject").agg(F.min("outcome").alias("outcome"), F.count("value").alias("n"), F.count(F.lit(1)).alias("m"))
+    holed = F.broadcast(people.groupBy("dataset").agg((F.min(F.col("n") - F.col("m")) < 0).alias("holed")))
+    marked = images.where("value is not null and outcome is not null").withColumn("value", average_rank("value", "dataset", "voxel")).join(holed, "dataset")
+    ranks = people.where("outcome is not null").select("dataset", "subject", average_rank("outcome", "dataset").alias("_k"))
+    whole = marked.where("not holed").drop("outcome").join(ranks, ["dataset", "subject"]).withColumnRenamed("_k", "outcome")
+    others = marked.where("holed").withColumn("outcome", average_rank("outcome", "dataset", "voxel"))
+    return correlation_map(whole.unionByName(others))
 
 
 def average_map(images: DataFrame) -> DataFrame:
@@ -41,8 +50,9 @@ def control_scores(images: DataFrame, control: float) -> DataFrame:
 
 def regression_map(images: DataFrame) -> DataFrame:
     """OLS of the outcome on the voxel: slope, intercept, R2 and the slope's t; null where undefined."""
+    x, y = both("value", "outcome")
     g = images.groupBy("dataset", "voxel").agg(
-        F.count(F.lit(1)).alias("n"), F.covar_pop("value", "outcome").alias("c"), F.var_pop("value").alias("vx"), F.var_pop("outcome").alias("vy"), F.avg("value").alias("mx"), F.avg("outcome").alias("my")
+        F.count(x).alias("n"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.avg(x).alias("mx"), F.avg(y).alias("my")
     )
     b = ratio(F.col("c"), F.col("vx"))
     r2 = ratio(F.col("c") * F.col("c"), F.col("vx") * F.col("vy"))
@@ -66,8 +76,7 @@ def map_similarity(maps: DataFrame, value: str) -> DataFrame:
     """Pearson and cosine of every pair of maps, over shared voxels."""
     a = maps.select(F.col("dataset").alias("a"), "voxel", F.col(value).alias("x"))
     b = maps.select(F.col("dataset").alias("b"), "voxel", F.col(value).alias("y"))
-    dot, nx, ny = F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x"))), F.sqrt(F.sum(F.col("y") * F.col("y")))
-    return a.join(b, "voxel").where("a <= b").groupBy("a", "b").agg(pearson("x", "y").alias("r"), ratio(dot, nx * ny).alias("cosine"))
+    return a.join(b, "voxel").where("a <= b").groupBy("a", "b").agg(pearson("x", "y").alias("r"), cosine("x", "y").alias("cosine"))
 
 
 def damage_scores(images: DataFrame, target: DataFrame) -> DataFrame:
@@ -76,7 +85,7 @@ def damage_scores(images: DataFrame, target: DataFrame) -> DataFrame:
     dot, inside = F.sum(F.col("value") * F.col("weight")), F.col("weight") > 0
     return j.groupBy("subject").agg(
         dot.alias("dot"),
-        ratio(dot, F.sqrt(F.sum(F.col("value") * F.col("value"))) * F.sqrt(F.sum(F.col("weight") * F.col("weight")))).alias("cosine"),
+        cosine("value", "weight").alias("cosine"),
         F.sum(F.when(inside, F.col("value"))).alias("inside"),
         F.avg(F.when(inside, F.col("value"))).alias("mean_inside"),
         F.sum((inside & (F.col("value") > 0)).cast("int")).alias("n_inside"),

@@ -29,8 +29,16 @@ def max_r(images: DataFrame, replicates: int = 20, seed: str = "fwe") -> DataFra
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, by: str) -> DataFrame:
-    """Adds q: the smallest p * n / rank at this p or a larger one."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
+    """Adds q: the smallest p * n / rank at this p or a larger one; a null p is no test and has no q."""
+    n = F.count(p).over(Window.partitionBy(by))
     w = Window.partitionBy(by).orderBy(F.desc("_k"))
-    ranked = tests.withColumn("_k", F.rank().over(Window.partitionBy(by).orderBy(p)) + F.count(F.lit(1)).over(Window.partitionBy(by, p)) - 1)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * n / F.col("_k")).over(w))).drop("_k")
+    rank = F.rank().over(Window.partitionBy(by).orderBy(F.col(p).asc_nulls_last())) + F.count(F.lit(1)).over(Window.partitionBy(by, p)) - 1
+    ranked = tests.withColumn("_k", F.when(F.col(p).isNotNull(), rank))
+    return ranked.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * n / F.col("_k")).over(w)))).drop("_k")
+
+
+def bonferroni(tests: DataFrame, p: str, by: str, alpha: float = 0.05, capped: bool = True) -> DataFrame:
+    """p times the number of tests, for p below alpha only; others stay as they are."""
+    n = F.count(p).over(Window.partitionBy(by))
+    scaled = F.col(p) * n
+    return tests.withColumn("q", F.when(F.col(p) < alpha, F.least(F.lit(1.0), scaled) if capped else scaled).otherwise(F.col(p)))

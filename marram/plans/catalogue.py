@@ -6,58 +6,25 @@ tables, given to Spark as DataFrames, so nothing is registered in the session.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from marram.functions.columns import r6
 from marram.operators import maps, relational, resampling
-from marram.sources.tables import images, table
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-IMG = """WITH img AS (SELECT CAST(vec_id % 3 AS INTEGER) AS dataset, vec_id AS subject, CAST(label AS DOUBLE) AS outcome,
- CAST(unnest(range(0, len(embedding))) AS INTEGER) AS voxel, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"""
-R = "CASE WHEN stddev_pop({0}) > 1e-12 AND stddev_pop({1}) > 1e-12 THEN covar_pop({0}, {1}) / (stddev_pop({0}) * stddev_pop({1})) END"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def declared(name: str, sql: str) -> None:
-    """One SQL text for both engines; {table} names a table."""
-    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
-    QUERIES[name] = lambda spark, sf_dir: spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
-    ORACLES[name] = re.sub(r"\{(\w+)\}", r"\1", sql)
-
-
-def img(spark, sf_dir):
-    return images(table(spark, sf_dir, "embeddings"))
-
-
-def rounded(df, *columns):
-    return df.select(*[r6(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+from marram.sources.tables import table
 
+from .registry import IMG, ORACLES, QUERIES, R, declared, img, query, rounded
 
 # --- maps ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"""{IMG}, s AS (SELECT DISTINCT dataset, subject, outcome FROM img), reps AS (SELECT *, CAST(unnest(range(1, 21)) AS INTEGER) AS rep FROM s),
+@query(f"""{IMG}, s AS (SELECT DISTINCT dataset, subject, outcome FROM img), reps AS (SELECT *, CAST(unnest(range(1, 101)) AS INTEGER) AS rep FROM s),
  a AS (SELECT rep, dataset, subject, row_number() OVER (PARTITION BY rep, dataset ORDER BY subject) AS k FROM reps),
  b AS (SELECT rep, dataset, outcome, row_number() OVER (PARTITION BY rep, dataset ORDER BY md5(concat_ws('|', 'fwe', CAST(rep AS VARCHAR), CAST(subject AS VARCHAR))), subject) AS k FROM reps),
  n AS (SELECT a.rep, a.dataset, img.voxel, round({R.format("img.value", "b.outcome")}, 6) AS r FROM a JOIN b ON a.rep = b.rep AND a.dataset = b.dataset AND a.k = b.k JOIN img ON img.dataset = a.dataset AND img.subject = a.subject GROUP BY 1, 2, 3),
  m AS (SELECT dataset, rep, max(abs(r)) AS m FROM n GROUP BY 1, 2), o AS (SELECT dataset, voxel, round({R.format("value", "outcome")}, 6) + 0.0 AS r FROM img GROUP BY 1, 2)
- SELECT o.dataset, o.voxel, o.r, CAST(count(CASE WHEN m.m >= abs(o.r) THEN 1 END) AS DOUBLE) / 20.0 AS p FROM o JOIN m ON o.dataset = m.dataset GROUP BY 1, 2, 3""")
+ SELECT o.dataset, o.voxel, o.r, CAST(count(CASE WHEN m.m >= abs(o.r) THEN 1 END) AS DOUBLE) / 100.0 AS p FROM o JOIN m ON o.dataset = m.dataset GROUP BY 1, 2, 3""")
 def fwe_max_r(spark, sf_dir):
-    return resampling.max_r(img(spark, sf_dir), 20)
+    return resampling.max_r(img(spark, sf_dir), 100)
 
 
 @query(f"{IMG} SELECT dataset, voxel, round({R.format('value', 'outcome')}, 6) + 0.0 AS r FROM img GROUP BY 1, 2")
@@ -200,34 +167,25 @@ DECLARED = {
     "left_merge": "SELECT c_custkey, n_name FROM {customer} LEFT JOIN {nation} ON c_nationkey = n_nationkey AND n_regionkey < 3",
     "conditional_merge": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN n_name END AS n_name FROM {customer} LEFT JOIN {nation} ON c_nationkey = n_nationkey",
     "semi_join_list": "SELECT c_custkey, c_name FROM {customer} WHERE c_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)",
-    "anti_join_keys": "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
+    "anti_join_keys": "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)",
     "align_keys": "SELECT n_nationkey FROM {nation} WHERE n_nationkey IN (SELECT c_nationkey FROM {customer}) AND n_nationkey IN (SELECT s_nationkey FROM {supplier})",
     "intersect_keys": "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey AS k FROM {supplier}",
-    "except_keys": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey AS k FROM {orders}",
+    "except_keys": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey AS k FROM {orders} WHERE o_totalprice > 400000",
     "union_rows": "SELECT c_name AS name, c_acctbal AS bal FROM {customer} UNION ALL SELECT s_name AS name, s_acctbal AS bal FROM {supplier}",
     "drop_duplicates_first": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders}) WHERE n = 1",
-    "every_second_row": "SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM {customer}) WHERE n % 2 = 0",
     "pivot_mean": "SELECT o_orderpriority, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS f, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS o, round(avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 4) AS p FROM {orders} GROUP BY 1",
     "group_zscore": "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_mktsegment)) / nullif(stddev_samp(c_acctbal) OVER (PARTITION BY c_mktsegment), 0), 6) AS z FROM {customer}",
     "minmax_by_group": "SELECT c_custkey, round((c_acctbal - min(c_acctbal) OVER (PARTITION BY c_mktsegment)) / nullif(max(c_acctbal) OVER (PARTITION BY c_mktsegment) - min(c_acctbal) OVER (PARTITION BY c_mktsegment), 0), 6) AS x FROM {customer}",
-    "robust_scale": "SELECT c_custkey, round((c_acctbal - m) / nullif(q3 - q1, 0), 6) AS x FROM {customer} CROSS JOIN (SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal) AS m, percentile_cont(0.25) WITHIN GROUP (ORDER BY c_acctbal) AS q1, percentile_cont(0.75) WITHIN GROUP (ORDER BY c_acctbal) AS q3 FROM {customer}) s",
-    "clip_outliers": "SELECT c_custkey, round(least(greatest(c_acctbal, lo), hi), 6) AS x FROM {customer} CROSS JOIN (SELECT percentile_cont(0.05) WITHIN GROUP (ORDER BY c_acctbal) AS lo, percentile_cont(0.95) WITHIN GROUP (ORDER BY c_acctbal) AS hi FROM {customer}) s",
     "scalar_transforms": "SELECT o_orderkey, round(ln(o_totalprice + 1), 6) AS log1, round(sqrt(o_totalprice), 6) AS root, round(1 / (o_totalprice + 1), 9) AS inv1, round(o_totalprice * o_totalprice, 2) AS sq FROM {orders}",
     "logit_logistic": "SELECT part.p_partkey, round(ln(q / (1 - q)), 6) AS logit, round(1 / (1 + exp(-q)), 6) AS logistic FROM (SELECT p_partkey, (p_size + 5e-1) / 52e0 AS q FROM {part}) part",
-    "invert_distribution": "SELECT p_partkey, max(p_size) OVER () + min(p_size) OVER () - p_size AS x FROM {part}",
-    "forward_fill": "SELECT event_id, coalesce(max(k) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS last_error FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN event_id END AS k FROM {events}) t",
     "rolling_mean3": "SELECT event_id, CASE WHEN count(value) OVER w = 3 THEN round(avg(value) OVER w, 6) END AS m FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
     "cumcount": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM {events}",
     "ecdf": "SELECT event_id, round(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 6) AS f FROM {events}",
     "rank_pct": "SELECT event_id, round((rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0) / count(*) OVER (PARTITION BY event_type), 6) AS r FROM {events}",
     "histogram40": "SELECT CAST(least(39, floor((c_acctbal - lo) / (hi - lo) * 40)) AS BIGINT) AS bin, count(*) AS n FROM {customer} CROSS JOIN (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM {customer}) s GROUP BY 1",
-    "ordinal_encode": "SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS code FROM {part}",
-    "factorize_first_seen": "SELECT p_partkey, dense_rank() OVER (ORDER BY f) - 1 AS code FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_type) AS f FROM {part}) t",
     "np_select": "SELECT event_id, CASE WHEN value > 60 THEN 1 WHEN value < 30 THEN -1 ELSE 0 END AS c FROM {events}",
     "threshold_fill": "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 25 THEN 0.0 ELSE l_quantity END AS kept FROM {lineitem}",
-    "saddle_binarise": "SELECT c_custkey, c_acctbal <= avg(c_acctbal) OVER () AS low FROM {customer}",
     "mean_sem_2way": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS m, round(stddev_samp(l_quantity) / sqrt(count(l_quantity)), 6) AS sem FROM {lineitem} GROUP BY 1, 2",
-    "category_plus_all": "SELECT coalesce(c_mktsegment, 'all_categories') AS category, count(*) AS n, round(avg(c_acctbal), 4) AS m FROM {customer} GROUP BY ROLLUP (c_mktsegment)",
     "contingency_odds": "SELECT sum(quality * toxic) AS a, sum(quality * (1 - toxic)) AS b, sum((1 - quality) * toxic) AS c, sum((1 - quality) * (1 - toxic)) AS d, round(CAST(sum(quality * toxic) * sum((1 - quality) * (1 - toxic)) AS DOUBLE) / nullif(sum(quality * (1 - toxic)) * sum((1 - quality) * toxic), 0), 6) AS odds_ratio FROM {labels}",
     "chi_square_2x2": "SELECT round(n * pow(a * d - b * c, 2) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0), 6) AS chi2, round(pow(b - c, 2) / nullif(b + c, 0), 6) AS mcnemar FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(quality * toxic) AS DOUBLE) AS a, CAST(sum(quality * (1 - toxic)) AS DOUBLE) AS b, CAST(sum((1 - quality) * toxic) AS DOUBLE) AS c, CAST(sum((1 - quality) * (1 - toxic)) AS DOUBLE) AS d FROM {labels}) t",
     "cohen_kappa": "SELECT round((po - pe) / nullif(1 - pe, 0), 6) AS kappa FROM (SELECT avg(CASE WHEN quality = toxic THEN 1e0 ELSE 0e0 END) AS po, avg(CAST(quality AS DOUBLE)) * avg(CAST(toxic AS DOUBLE)) + (1 - avg(CAST(quality AS DOUBLE))) * (1 - avg(CAST(toxic AS DOUBLE))) AS pe FROM {labels}) t",
@@ -237,7 +195,6 @@ DECLARED = {
     "welch_t": "SELECT round((m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0), 6) AS t, round(pow(v1 / n1 + v2 / n2, 2) / nullif(pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1), 0), 4) AS df FROM (SELECT avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS m1, avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS m2, var_samp(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS v1, var_samp(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS v2, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS n1, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS n2 FROM {lineitem}) s",
     "paired_t": "SELECT round(avg(d) / nullif(stddev_samp(d) / sqrt(count(d)), 0), 6) AS t, count(d) - 1 AS df FROM (SELECT l_quantity - l_tax * 100 AS d FROM {lineitem}) x",
     "anova_oneway": "SELECT round(ssb / 1e6, 3) AS ssb_m, round(ssw / 1e6, 3) AS ssw_m, k - 1 AS df1, n - k AS df2, round((ssb / (k - 1)) / nullif(ssw / (n - k), 0), 6) AS f FROM (SELECT sum(c * (m - gm) * (m - gm)) AS ssb, sum(c * v) AS ssw, count(*) AS k, sum(c) AS n FROM (SELECT o_orderpriority, count(*) AS c, avg(o_totalprice) AS m, var_pop(o_totalprice) AS v FROM {orders} GROUP BY 1) g CROSS JOIN (SELECT avg(o_totalprice) AS gm FROM {orders}) a) s",
-    "kruskal_h": "SELECT round(12.0 / (n * (n + 1.0)) * sum(s * s / c) - 3 * (n + 1), 6) AS h FROM (SELECT o_orderpriority, n, sum(k) AS s, count(*) AS c FROM (SELECT o_orderpriority, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS k, CAST(count(*) OVER () AS DOUBLE) AS n FROM {orders}) r GROUP BY 1, 2) g GROUP BY n",
     "mannwhitney_u": "SELECT sum(CASE WHEN event_type = 'view' THEN k END) - n1 * (n1 + 1) / 2 AS u FROM (SELECT event_type, CAST(rank() OVER (ORDER BY value) AS DOUBLE) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS k, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER () AS DOUBLE) AS n1 FROM {events} WHERE event_type IN ('view', 'click')) t GROUP BY n1",
     "ks_2samp": "SELECT round(max(abs(f1 - f2)), 6) AS d FROM (SELECT CAST(sum(a) OVER w AS DOUBLE) / sum(a) OVER () AS f1, CAST(sum(b) OVER w AS DOUBLE) / sum(b) OVER () AS f2 FROM (SELECT value, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS b FROM {events} GROUP BY 1) g WINDOW w AS (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) s",
     "variance_f": "SELECT round(v1 / nullif(v2, 0), 6) AS f FROM (SELECT var_samp(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS v1, var_samp(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS v2 FROM {lineitem}) s",
@@ -245,7 +202,6 @@ DECLARED = {
     "did_timecourse": "SELECT event_type, CAST(floor(event_id / 500) AS BIGINT) AS period, count(*) AS n, round(avg(value), 6) AS m, round(stddev_samp(value) / sqrt(count(value)), 6) AS sem FROM {events} GROUP BY 1, 2",
     "icc_two_raters": "SELECT round((msr - mse) / nullif(msr, 0), 6) AS icc3k FROM (SELECT 2 * var_samp(m) AS msr, sum(d * d) / (count(*) - 1) - count(*) * avg(e) * avg(e) * 2 / (count(*) - 1) AS mse FROM (SELECT (quality + toxic) / 2e0 AS m, (quality - toxic) / sqrt(2e0) AS d, (quality - toxic) / 2e0 AS e FROM {labels}) t) s",
     "two_proportions_z": "SELECT round((p1 - p2) / nullif(sqrt(p * (1 - p) * (1.0 / n1 + 1.0 / n2)), 0), 6) AS z FROM (SELECT avg(CASE WHEN quality = 1 THEN CAST(toxic AS DOUBLE) END) AS p1, avg(CASE WHEN quality = 0 THEN CAST(toxic AS DOUBLE) END) AS p2, avg(CAST(toxic AS DOUBLE)) AS p, sum(quality) AS n1, sum(1 - quality) AS n2 FROM {labels}) s",
-    "ravel_index": "SELECT p_partkey, (p_partkey % 91) * 109 * 91 + (p_partkey % 109) * 91 + p_partkey % 91 AS i FROM {part} WHERE p_partkey % 109 < 109",
     "log_odds_probability": "SELECT c_custkey, round(1 / (1 + exp(-c_acctbal / 1000)), 6) AS p FROM {customer}",
     "summary_stats": "SELECT count(c_acctbal) AS n, round(avg(c_acctbal), 4) AS m, round(stddev_samp(c_acctbal), 4) AS sd, min(c_acctbal) AS lo, max(c_acctbal) AS hi, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal), 4) AS med FROM {customer}",
 }
@@ -256,11 +212,6 @@ for _name, _sql in DECLARED.items():
 # --- arrays and strings -------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events")
-def json_props_value(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"))
-
-
 @query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 5) AS total, round(list_avg(embedding::DOUBLE[]), 6) AS mean, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
 def array_sum_mean_norm(spark, sf_dir):
     x = F.col("embedding").cast("array<double>")
@@ -269,10 +220,13 @@ def array_sum_mean_norm(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total, 5).alias("total"), F.round(total / F.size(x), 6).alias("mean"), F.round(F.sqrt(square), 5).alias("norm"))
 
 
-@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), c AS (SELECT * FROM p WHERE vec_id < 5)
- SELECT c.vec_id AS centre, p.vec_id AS vec_id FROM c JOIN p ON pow(c.x - p.x, 2) + pow(c.y - p.y, 2) + pow(c.z - p.z, 2) <= 0.01""")
+@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)
+ SELECT c.vec_id AS centre, p.vec_id AS vec_id FROM p c JOIN p ON pow(c.x - p.x, 2) + pow(c.y - p.y, 2) + pow(c.z - p.z, 2) <= 0.01""")
 def sphere_range_join(spark, sf_dir):
     from marram.operators.ranges import within
 
     p = table(spark, sf_dir, "embeddings").select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate("xyz")])
-    return within(p.where("vec_id < 5"), p, "vec_id", 0.1)
+    return within(p, p, "vec_id", 0.1)
+
+
+from marram.plans import prep  # noqa: E402, F401

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from marram.functions.columns import clean
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,10 +23,10 @@ def path_table(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 
 def images(vectors: DataFrame, datasets: int = 3) -> DataFrame:
-    """Long images: dataset, subject, outcome, voxel (from 0), value as double."""
+    """Long images: dataset, subject, outcome, voxel (from 0), value as double with null for NaN and infinity."""
     return vectors.select(
         (F.col("vec_id") % datasets).cast("int").alias("dataset"), F.col("vec_id").alias("subject"), F.col("label").cast("double").alias("outcome"), F.posexplode("embedding").alias("voxel", "value")
-    ).withColumn("value", F.col("value").cast("double"))
+    ).withColumn("value", clean(F.col("value").cast("double")))
 
 
 def json_numbers(column: str) -> Column:
