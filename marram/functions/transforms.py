@@ -117,11 +117,11 @@ def running(df: DataFrame, order: str, amount: str, out: str, parts: int = 64) -
 
     marks = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)))
     bucket = F.size(F.filter(F.array(*map(F.lit, marks)).cast("array<double>"), lambda m: m < F.col(order))) if marks else F.lit(0)
-    placed = df.withColumn("_b", bucket)
-    sums = placed.groupBy("_b").agg(F.sum(amount).alias("_t"))  # at most ``parts`` rows
-    before = sums.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_o"))
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(F.broadcast(before), "_b").withColumn(out, F.col("_o") + F.coalesce(F.sum(amount).over(w), F.lit(0))).drop("_b", "_o")
+    placed = df.withColumn("_bucket", bucket)
+    sums = placed.groupBy("_bucket").agg(F.sum(amount).alias("_total"))  # at most ``parts`` rows
+    before = sums.select("_bucket", (F.sum("_total").over(Window.orderBy("_bucket")) - F.col("_total")).alias("_before"))
+    w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(F.broadcast(before), "_bucket").withColumn(out, F.col("_before") + F.coalesce(F.sum(amount).over(w), F.lit(0))).drop("_bucket", "_before")
 
 
 def quantile_uniform(df: DataFrame, x: str, out: str) -> DataFrame:

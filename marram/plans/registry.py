@@ -61,8 +61,9 @@ def t_p_sql(t: str, df: str) -> str:
 
 
 def f_p_sql(f: str, d1: str, d2: str) -> str:
-    front = f"2 * exp(lgamma((({d1}) + ({d2})) / 2.0) - lgamma(({d1}) / 2.0) - lgamma(({d2}) / 2.0) + ({d1}) / 2.0 * ln({d1}) + ({d2}) / 2.0 * ln({d2}))"
-    return f"(1 - {front} * " + integral(f"pow({{u}}, ({d1}) - 1) * pow(({d2}) + ({d1}) * {{u}} * {{u}}, -(({d1}) + ({d2})) / 2.0)", f"sqrt({f})") + ")"
+    front = f"ln(2) + lgamma((({d1}) + ({d2})) / 2.0) - lgamma(({d1}) / 2.0) - lgamma(({d2}) / 2.0) + ({d1}) / 2.0 * ln({d1}) + ({d2}) / 2.0 * ln({d2})"
+    density = f"CASE WHEN i = 0 THEN CASE WHEN ({d1}) = 1 THEN exp({front} - (({d1}) + ({d2})) / 2.0 * ln({d2})) ELSE 0 END ELSE exp({front} + (({d1}) - 1) * ln(greatest(1e-300, {{u}})) - (({d1}) + ({d2})) / 2.0 * ln(({d2}) + ({d1}) * {{u}} * {{u}})) END"
+    return "(1 - " + integral(density, f"sqrt({f})") + ")"
 
 
 def chi2_p_sql(x: str, k: str) -> str:
