@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.functions.columns import hash_order, pearson, r6
 
+DRAWS = 50_000_000  # numbers of a matrix of draws that may travel to the tasks
+VOXELS = 4096  # voxels of a block
+
 
 def shuffled(subjects: DataFrame, replicates: int, block: str, value: str, seed: str) -> DataFrame:
     """(rep, block, subject, value): within each block the values are dealt to the subjects anew, for every replicate."""
@@ -18,14 +23,153 @@ def shuffled(subjects: DataFrame, replicates: int, block: str, value: str, seed:
     return to.join(of, ["rep", block, "k"]).drop("k")
 
 
-def max_r(images: DataFrame, replicates: int = 20, seed: str = "fwe") -> DataFrame:
-    """r of every voxel with its family-wise p: the share of replicates whose largest |r| reaches it."""
+def draw_matrix(people: DataFrame, replicates: int, value: str, seed: str) -> dict:
+    """Per dataset the subjects in order and their values in every replicate, (replicates, subjects), row 0 as observed.
+
+    One number per subject and replicate reaches the driver and travels to the tasks; ``DRAWS`` bounds them.
+    """
+    n = people.count()
+    if n * replicates > DRAWS:
+        raise ValueError(f"{n} subjects in {replicates} replicates exceed {DRAWS} draws; split the replicates")
+    drawn = shuffled(people, replicates, "dataset", value, seed).unionByName(people.select(F.lit(0).alias("rep"), "dataset", "subject", value))
+    lines = drawn.groupBy("dataset", "rep").agg(F.array_sort(F.collect_list(F.struct("subject", value))).alias("v")).orderBy("dataset", "rep")
+    out: dict = {}
+    for r in lines.toLocalIterator():
+        subjects, rows = out.setdefault(r["dataset"], ([x[0] for x in r["v"]], []))
+        rows.append([np.nan if x[1] is None else x[1] for x in r["v"]])
+    return {d: (np.array(subjects), np.array(rows, float)) for d, (subjects, rows) in out.items()}
+
+
+def block_correlations(images: DataFrame, draws: dict, emit, shape: str, block: int = VOXELS) -> DataFrame:
+    """emit(key, voxels, r) of every dataset and block of voxels, r being (replicates, voxels) with NaN where undefined.
+
+    One matrix product per block gives the r of all its voxels in all replicates, over the complete pairs of each voxel.
+    """
+    shared = images.sparkSession.sparkContext.broadcast(draws)
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        subjects, y = shared.value[key[0]]
+        voxels, at = np.unique(frame["voxel"].to_numpy(), return_inverse=True)
+        x = np.full((len(subjects), len(voxels)), np.nan)
+        x[np.searchsorted(subjects, frame["subject"].to_numpy()), at] = frame["value"].to_numpy(float)
+        return emit(key, voxels, correlations(y, x))
+
+    placed = images.select("dataset", "subject", "voxel", "value").withColumn("_b", F.floor(F.col("voxel") / block))
+    return placed.groupBy("dataset", "_b").applyInPandas(run, shape)
+
+
+def correlations(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Pearson r of each row of y (replicates, n) with each column of x (n, voxels), over the complete pairs."""
+    seen, own = ~np.isnan(x), ~np.isnan(y)
+    x0, y0 = np.where(seen, x, 0.0), np.where(own, y, 0.0)
+    m, w = seen.astype(float), own.astype(float)
+    n = w @ m
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sx, sy, sxy, sxx, syy = w @ x0, y0 @ m, y0 @ x0, w @ (x0 * x0), (y0 * y0) @ m
+        vx, vy = sxx / n - (sx / n) ** 2, syy / n - (sy / n) ** 2
+        r = (sxy / n - sx * sy / n / n) / np.sqrt(vx * vy)
+    r[~((vx > 1e-20) & (vy > 1e-20))] = np.nan
+    return r
+
+
+def max_r(images: DataFrame, replicates: int = 100, seed: str = "fwe", percentile: float | None = None) -> DataFrame:
+    """r of every voxel with its family-wise p: the share of replicates whose largest |r| reaches it.
+
+    With ``percentile`` a replicate gives that percentile of its |r| in place of the largest, per block of voxels the
+    largest such. Ties at six decimals count as reached.
+    """
+    people = images.groupBy("dataset", "subject").agg(F.min("outcome").alias("outcome"))
+    draws = draw_matrix(people, replicates, "outcome", seed)
+
+    def largest(key, voxels, r):
+        size = np.abs(np.round(r, 6))
+        top = np.where(np.isnan(size), -1.0, size)
+        top = top.max(axis=1) if percentile is None else np.percentile(top, percentile, axis=1)
+        return pd.DataFrame({"dataset": key[0], "rep": np.arange(len(top)), "m": top})
+
+    null = block_correlations(images, draws, largest, "dataset int, rep int, m double").where("rep > 0").groupBy("dataset", "rep").agg(F.max("m").alias("m"))
+    lists = null.groupBy("dataset").agg(F.collect_list("m").alias("null"))  # one number per replicate
     seen = images.groupBy("dataset", "voxel").agg(r6(pearson("value", "outcome")).alias("r"))
-    people = images.select("dataset", "subject", "outcome").distinct()
-    null = images.drop("outcome").join(shuffled(people, replicates, "dataset", "outcome", seed), ["dataset", "subject"])
-    largest = null.groupBy("rep", "dataset", "voxel").agg(r6(pearson("value", "outcome")).alias("r")).groupBy("dataset", "rep").agg(F.max(F.abs("r")).alias("m"))
-    lists = largest.groupBy("dataset").agg(F.collect_list("m").alias("null"))  # one number per replicate
-    return seen.join(lists, "dataset").select("dataset", "voxel", "r", (F.size(F.filter("null", lambda m: m >= F.abs("r"))) / F.lit(float(replicates))).alias("p"))
+    p = F.size(F.filter("null", lambda m: m >= F.abs("r"))) / F.lit(float(replicates))
+    return seen.join(F.broadcast(lists), "dataset").select("dataset", "voxel", "r", F.when(F.col("r").isNotNull(), p).alias("p"))
+
+
+def similarity_permutation(images: DataFrame, replicates: int, seed: str = "sim") -> DataFrame:
+    """Per pair of datasets: r of their correlation maps, and the share of replicates, outcomes permuted in each, whose
+    |r| reaches it."""
+    people = images.groupBy("dataset", "subject").agg(F.min("outcome").alias("outcome"))
+    draws = draw_matrix(people, replicates, "outcome", seed)
+
+    def maps(key, voxels, r):
+        reps = np.repeat(np.arange(len(r)), len(voxels))
+        return pd.DataFrame({"dataset": key[0], "rep": reps, "voxel": np.tile(voxels, len(r)), "r": r.ravel()})
+
+    m = block_correlations(images, draws, maps, "dataset int, rep int, voxel int, r double").withColumn("r", F.nanvl("r", F.lit(None)))
+    a, b = m.select("rep", "voxel", F.col("dataset").alias("a"), F.col("r").alias("x")), m.select("rep", "voxel", F.col("dataset").alias("b"), F.col("r").alias("y"))
+    s = a.join(b, ["rep", "voxel"]).where("a < b").groupBy("a", "b", "rep").agg(r6(pearson("x", "y")).alias("r"))
+    seen = s.where("rep = 0").select("a", "b", F.col("r").alias("seen"))
+    return s.where("rep > 0").join(seen, ["a", "b"]).groupBy("a", "b", "seen").agg(F.avg((F.abs("r") >= F.abs("seen")).cast("double")).alias("p")).withColumnRenamed("seen", "r")
+
+
+def bootstrap(df: DataFrame, key: str, replicates: int, seed: str) -> DataFrame:
+    """(rep, draw, and the row drawn): n draws with replacement in every replicate, row = hash(seed, rep, draw) mod n in
+    the order of the key. For tables of subjects: rows times replicates are made."""
+    from marram.functions.transforms import running
+
+    placed = running(df.withColumn("_one", F.lit(1)), key, "_one", "_i").drop("_one")
+    n = placed.agg(F.count(F.lit(1)).alias("n"))
+    draws = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).select("n", "rep", F.explode(F.expr("sequence(1L, n)")).alias("draw"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
+    return draws.withColumn("_i", number % F.col("n")).drop("n").join(placed, "_i").drop("_i")
+
+
+def bootstrap_summary(draws: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Of one statistic per replicate: mean, se, 2.5 and 97.5 percentiles, two-sided sign p."""
+    up = F.avg((F.col(value) > 0).cast("double"))
+    p = F.least(F.lit(1.0), 2 * F.least(up, 1 - up))
+    return draws.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("se"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"), p.alias("p"))
+
+
+def empirical_p(null: DataFrame, value: str, seen: str, by: list[str], side: str = "both", inclusive: bool = True, plus_one: bool = False) -> DataFrame:
+    """The share of replicates that reach the observed value, by side (``both``, ``above``, ``below``)."""
+    v, o = (F.abs(value), F.abs(seen)) if side == "both" else (F.col(value), F.col(seen))
+    hit = (v <= o if inclusive else v < o) if side == "below" else (v >= o if inclusive else v > o)
+    k, n = F.sum(hit.cast("double")), F.count(value)
+    return null.groupBy(*by).agg(((k + 1) / (n + 1) if plus_one else k / n).alias("p"))
+
+
+def label_permutation(people: DataFrame, x: str, y: str, group: str, replicates: int, seed: str) -> DataFrame:
+    """r(x, y) in group 1 minus that in group 0, and the share of replicates with labels permuted that reach its size."""
+    base = people.select("subject", x, y, F.lit(0).alias("block"), group)
+    null = shuffled(base.select("subject", "block", F.col(group).alias("_g")), replicates, "block", "_g", seed)
+    every = null.join(base.select("subject", x, y), "subject").unionByName(base.select(F.lit(0).alias("rep"), "block", "subject", F.col(group).alias("_g"), x, y))
+    halves = every.groupBy("rep", "_g").agg(pearson(x, y).alias("r")).groupBy("rep").agg(r6(F.max(F.when(F.col("_g") == 1, F.col("r"))) - F.max(F.when(F.col("_g") == 0, F.col("r")))).alias("delta"))
+    seen = halves.where("rep = 0").select(F.col("delta").alias("seen"))
+    got = halves.where("rep > 0").crossJoin(F.broadcast(seen))
+    return got.groupBy("seen").agg(F.avg((F.abs("delta") >= F.abs("seen")).cast("double")).alias("p")).withColumnRenamed("seen", "delta")
+
+
+def paired_superiority(draws: DataFrame, a: str, b: str) -> DataFrame:
+    """Of a paired statistic per replicate: mean gap, share of replicates in which a exceeds b, percentile interval."""
+    gap = F.col(a) - F.col(b)
+    return draws.agg(F.avg(gap).alias("gap"), F.avg((gap > 0).cast("double")).alias("share"), F.percentile(gap, F.lit(0.025)).alias("low"), F.percentile(gap, F.lit(0.975)).alias("high"))
+
+
+def permuted_dice(a: DataFrame, b: DataFrame, replicates: int, seed: str, at: float = 0.95) -> DataFrame:
+    """Dice of two maps (voxel, value) above their own percentile, and the share of replicates, b's voxels permuted,
+    that exceed it."""
+    on = lambda m: m.crossJoin(F.broadcast(m.agg(F.percentile("value", F.lit(at)).alias("_c")))).select("voxel", (F.col("value") >= F.col("_c")).cast("int").alias("on"))
+    x, y = on(a).withColumnRenamed("on", "x"), on(b).select(F.col("voxel").alias("subject"), F.lit(0).alias("block"), F.col("on").alias("y"))
+    null = shuffled(y, replicates, "block", "y", seed).select("rep", F.col("subject").alias("voxel"), "y").unionByName(y.select(F.lit(0).alias("rep"), F.col("subject").alias("voxel"), "y"))
+    dice = null.join(x, "voxel").groupBy("rep").agg((2.0 * F.sum(F.col("x") * F.col("y")) / (F.sum("x") + F.sum("y"))).alias("dice"))
+    seen = dice.where("rep = 0").select(F.col("dice").alias("seen"))
+    return dice.where("rep > 0").crossJoin(F.broadcast(seen)).groupBy("seen").agg(F.avg((F.col("dice") > F.col("seen")).cast("double")).alias("p")).withColumnRenamed("seen", "dice")
+
+
+def merged_counts(files: DataFrame, replicates: int) -> DataFrame:
+    """p of every voxel from counts (file, voxel, p_count) that many runs of ``replicates`` wrote."""
+    runs = F.broadcast(files.select("file").distinct().agg((F.count(F.lit(1)) * replicates).alias("_n")))
+    return files.groupBy("voxel").agg(F.sum("p_count").alias("k")).crossJoin(runs).select("voxel", (F.col("k") / F.col("_n")).alias("p"))
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, by: str) -> DataFrame:

@@ -229,4 +229,4 @@ def sphere_range_join(spark, sf_dir):
     return within(p, p, "vec_id", 0.1)
 
 
-from marram.plans import imaging, inference, modelling, prep  # noqa: E402, F401
+from marram.plans import imaging, inference, modelling, prep, relations, replicates  # noqa: E402, F401
