@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: the characters that become an underscore in column names.
 UNACCEPTABLE = "!@#$%^&*()+={}[]|\\:;\"'<>,.?/~` -"
@@ -98,7 +99,7 @@ def natural_key(x: Column, width: int = 12) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(r"^\d")), F.lpad(p, width, "0")).otherwise(p)), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def shared_substring(a: pd.Series, b: pd.Series) -> pd.Series:
     """The longest common substring, the first in a on a tie; quadratic in the lengths, for names and not for texts."""
 

@@ -13,33 +13,36 @@ TWO = HOLES + """, d AS (SELECT voxel, value AS y, outcome AS a, CAST(subject *
  c AS (SELECT voxel, count(*) AS n, sum(w) AS sw, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * y) / sum(w) AS my FROM d GROUP BY 1),
  s AS (SELECT voxel, any_value(n) AS n, sum(w * pow(a - ma, 2)) AS aa, sum(w * pow(b - mb, 2)) AS bb, sum(w * (a - ma) * (b - mb)) AS ab, sum(w * (a - ma) * (y - my)) AS ay, sum(w * (b - mb) * (y - my)) AS byy, sum(w * pow(y - my, 2)) AS yy FROM d JOIN c USING (voxel) GROUP BY 1),
  f AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ba, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS bbb FROM s), e AS (SELECT *, (yy - ba * ay - bbb * byy) / (n - 3) AS mse, ba * ay / yy + bbb * byy / yy AS r2 FROM f)"""
-XS = {"1": F.lit(1.0), "a": F.col("outcome"), "b": (F.col("subject") * 7 % 13).cast("double")}
+
+def terms():
+    return {"1": F.lit(1.0), "a": F.col("outcome"), "b": (F.col("subject") * 7 % 13).cast("double")}
+
 
 
 @query(TWO.format(w="1.0") + f""", t AS (SELECT voxel, n, r2, ba AS estimate, ba / sqrt(mse * bb / (aa * bb - ab * ab)) AS t FROM e) SELECT voxel, n, round(r2, 6) + 0.0 AS r2, round(estimate, 6) + 0.0 AS estimate, round(t, 5) + 0.0 AS t, round({t_p_sql('t', '(n - 3.0)')}, 6) AS p FROM t""")
 def ols_multi(spark, sf_dir):
-    got = md.least_squares(holes(spark, sf_dir), ["voxel"], F.col("value"), XS).where("term = 'a'").select("voxel", "n", "r2", "estimate", "t", "p")
+    got = md.least_squares(holes(spark, sf_dir), ["voxel"], F.col("value"), terms()).where("term = 'a'").select("voxel", "n", "r2", "estimate", "t", "p")
     return rounded(rounded(got, "r2", "estimate", "p"), "t", digits=5)
 
 
 @query(TWO.format(w="1.0 + subject % 3") + """ SELECT voxel, round(r2, 6) + 0.0 AS r2, round(ba - bbb, 6) + 0.0 AS estimate, round((ba - bbb) / sqrt(mse * (aa + bb + 2 * ab) / (aa * bb - ab * ab)), 5) + 0.0 AS t FROM e""")
 def wls_contrast(spark, sf_dir):
     w = 1.0 + F.col("subject") % 3
-    got = md.least_squares(holes(spark, sf_dir), ["voxel"], F.col("value"), XS, w, {"a - b": [0.0, 1.0, -1.0]}).select("voxel", "r2", "estimate", "t")
+    got = md.least_squares(holes(spark, sf_dir), ["voxel"], F.col("value"), terms(), w, {"a - b": [0.0, 1.0, -1.0]}).select("voxel", "r2", "estimate", "t")
     return rounded(rounded(got, "r2", "estimate"), "t", digits=5)
 
 
 @query(TWO.format(w="1.0") + f""", q AS (SELECT voxel, n, (r2 - ay * ay / (aa * yy)) / ((1 - r2) / (n - 3)) AS f FROM e) SELECT voxel, round(f, 5) + 0.0 AS f, round({f_p_sql('f', '1.0', '(n - 3.0)')}, 5) + 0.0 AS p FROM q""")
 def nested_f_map(spark, sf_dir):
     i = holes(spark, sf_dir)
-    full = md.least_squares(i, ["voxel"], F.col("value"), XS)
-    small = md.least_squares(i, ["voxel"], F.col("value"), {k: XS[k] for k in ("1", "a")})
+    full = md.least_squares(i, ["voxel"], F.col("value"), terms())
+    small = md.least_squares(i, ["voxel"], F.col("value"), {k: terms()[k] for k in ("1", "a")})
     return rounded(md.f_change(small, full, ["voxel"], 1, 3), "f", "p", digits=5)
 
 
 @query(TWO.format(w="1.0") + """ SELECT h.voxel, h.subject, round(h.value - my - ba * (outcome - ma) - bbb * (h.subject * 7 % 13 - mb), 6) + 0.0 AS residual FROM holes h JOIN e USING (voxel) JOIN c USING (voxel)""")
 def residuals_of_covariates(spark, sf_dir):
-    return rounded(md.residuals(holes(spark, sf_dir), ["voxel"], "value", XS, "residual").select("voxel", "subject", "residual"), "residual")
+    return rounded(md.residuals(holes(spark, sf_dir), ["voxel"], "value", terms(), "residual").select("voxel", "subject", "residual"), "residual")
 
 
 @query(HOLES + """, o AS (SELECT voxel, value AS x, unnest([outcome, outcome * outcome]) AS y, unnest(['plain', 'squared']) AS outcome FROM holes WHERE value IS NOT NULL) SELECT outcome, voxel, round(regr_slope(y, x), 5) + 0.0 AS slope, round(regr_r2(y, x), 6) + 0.0 AS r2 FROM o GROUP BY 1, 2""")

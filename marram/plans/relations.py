@@ -97,3 +97,12 @@ def sum_by_label_with_null(spark, sf_dir):
 @query(f"{IMG} SELECT voxel, round(sum(value), 6) + 0.0 AS total FROM img GROUP BY 1")
 def sum_of_images(spark, sf_dir):
     return img(spark, sf_dir).groupBy("voxel").agg(r6(F.sum("value")).alias("total"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(corr(value, event_id % 17), 5) + 0.0 AS r, round(regr_slope(event_id % 17, value), 5) + 0.0 AS slope FROM events GROUP BY 1, 2 HAVING count(*) > 2")
+def windowed_moments(spark, sf_dir):
+    from marram.streaming import moments as mo
+
+    e = table(spark, sf_dir, "events").withColumn("k", F.col("event_id") % 17)
+    got = mo.statistics(mo.moments(e, "ts", "event_type", "value", "k")).where("n > 2")
+    return rounded(got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "r", "slope"), "r", "slope", digits=5)
