@@ -17,6 +17,8 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 RING = 1 << 14
 CELL_ROWS = 20_000
 
@@ -86,25 +88,34 @@ def shard_documents(docs: DataFrame, shards: int = 8, vnodes: int = 64, id_col:
     key = F.xxhash64(F.lit("ring"), F.col(id_col))
     arcs = F.expr("cast(split('" + ",".join(map(str, arc_of_slot(points))) + "', ',') as array<int>)")
     arc = arcs[F.pmod(key, F.lit(RING)).cast("int")]
-    counts = {r["arc"]: r["n"] for r in docs.select(arc.alias("arc")).groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = bounded_plan(points, counts, shards)
-    cells = max(4, -(-sum(counts.values()) // (CELL_ROWS * len(points))))
-    rows = docs.select(
-        F.col(id_col).alias(id_col),
+    narrow = docs.select(
+        F.col(id_col).alias("_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
         arc.alias("_arc"),
         key.alias("_key"),
-    ).withColumn("_cell", F.pmod(F.xxhash64(F.lit("cell"), id_col, "text_crc32"), F.lit(cells)).cast("int"))
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    # Texts are read once. Rows that agree in id and text may take each other's places, so the place where a row was
+    # read may split a hot one over the cells without changing the result.
+    narrow = cut(narrow)
+    counts = {r["_arc"]: r["n"] for r in narrow.groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = bounded_plan(points, counts, shards)
+    cells = max(4, -(-sum(counts.values()) // (CELL_ROWS * len(points))), -(-max(counts.values(), default=0) // CELL_ROWS))
+    rows = narrow.withColumn("_cell", F.pmod(F.xxhash64(F.lit("cell"), "_id", "text_crc32"), F.lit(cells)).cast("int"))
+    hot = cut(rows.groupBy("_id", "text_crc32", "_arc").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CELL_ROWS).select(F.struct("_id", "text_crc32").alias("_pair"), F.lit(True).alias("_hot")))
+    if not hot.isEmpty():  # few pairs can have so many rows
+        rows = rows.withColumn("_pair", F.struct("_id", "text_crc32")).join(F.broadcast(hot), "_pair", "left").drop("_pair")
+        rows = rows.withColumn("_cell", F.when(F.col("_hot"), F.pmod(F.xxhash64("_at"), F.lit(cells)).cast("int")).otherwise(F.col("_cell"))).drop("_hot")
+    rows = rows.withColumnRenamed("_id", id_col).drop("_at")
     before = Window.partitionBy("_arc").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = docs.select(arc.alias("_arc"), F.pmod(F.xxhash64(F.lit("cell"), F.col(id_col), F.crc32(F.encode(text, "UTF-8")).cast("long")), F.lit(cells)).cast("int").alias("_cell"))
-    offsets = offsets.groupBy("_arc", "_cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = rows.groupBy("_arc", "_cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy("_arc", "_cell").orderBy("_key", id_col, "text_crc32", "size")
     ranked = rows.withColumn("_in", F.row_number().over(inside) - 1).join(offsets, ["_arc", "_cell"]).withColumn("_rank", F.col("_from") + F.col("_in"))
     pieces = docs.sparkSession.createDataFrame(
-        [(arc, *piece) for arc, of in plan.items() for piece in of], "_at int, _lo long, _hi long, shard int, _slot long, hops int"
+        [(arc, *piece) for arc, of in plan.items() for piece in of], "_place int, _lo long, _hi long, shard int, _slot long, hops int"
     )  # at most arcs * shards rows, whatever the input
-    placed = ranked.join(F.broadcast(pieces), (F.col("_arc") == F.col("_at")) & (F.col("_lo") <= F.col("_rank")) & (F.col("_rank") < F.col("_hi")))
+    placed = ranked.join(F.broadcast(pieces), (F.col("_arc") == F.col("_place")) & (F.col("_lo") <= F.col("_rank")) & (F.col("_rank") < F.col("_hi")))
     owners = F.expr("cast(split('" + ",".join(str(s) for _, s in points) + "', ',') as array<int>)")
     return placed.select(
         id_col, "size", "text_crc32", F.lit("rows").alias("law"), "shard",

@@ -454,3 +454,11 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
         assert want[int(p.doc_id)][0][p.start : p.start + p.length].tobytes() == bytes(p.ids)
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_a_hot_row_spreads_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 100)
+    df = spark.createDataFrame([(7, "same")] * 1000 + [(i, f"t{i}") for i in range(500)], "doc_id long, text string").repartition(4)
+    got = sharding.shard_documents(df, 4).collect()
+    by = {s: sorted(r["slot"] for r in got if r["shard"] == s) for s in range(4)}
+    assert len(got) == 1500 and all(v == list(range(375)) for v in by.values())
