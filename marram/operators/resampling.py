@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,16 +30,23 @@ def draw_matrix(people: DataFrame, replicates: int, value: str, seed: str) -> di
 
     One number per subject and replicate reaches the driver and travels to the tasks; ``DRAWS`` bounds them.
     """
-    n = people.count()
-    if n * replicates > DRAWS:
-        raise ValueError(f"{n} subjects in {replicates} replicates exceed {DRAWS} draws; split the replicates")
-    drawn = shuffled(people, replicates, "dataset", value, seed).unionByName(people.select(F.lit(0).alias("rep"), "dataset", "subject", value))
-    lines = drawn.groupBy("dataset", "rep").agg(F.array_sort(F.collect_list(F.struct("subject", value))).alias("v")).orderBy("dataset", "rep")
-    out: dict = {}
-    for r in lines.toLocalIterator():
-        subjects, rows = out.setdefault(r["dataset"], ([x[0] for x in r["v"]], []))
-        rows.append([np.nan if x[1] is None else x[1] for x in r["v"]])
-    return {d: (np.array(subjects), np.array(rows, float)) for d, (subjects, rows) in out.items()}
+    local = people.select("dataset", "subject", value).orderBy("dataset", "subject").limit(DRAWS // max(1, replicates) + 1).toPandas()
+    if len(local) * replicates > DRAWS:
+        raise ValueError(f"more than {DRAWS} draws; split the replicates")
+    lists = {d: (f["subject"].to_numpy(), f[value].to_numpy(float)) for d, f in local.groupby("dataset")}
+
+    def draw(batches):
+        """The order of md5(seed|replicate|subject) within each dataset, as ``shuffled`` has it."""
+        for frame in batches:
+            for rep in frame["id"].tolist():
+                for d, (subjects, values) in lists.items():
+                    keys = [hashlib.md5(f"{seed}|{rep}|{s}".encode()).hexdigest() for s in subjects.tolist()]
+                    order = sorted(range(len(keys)), key=lambda i: (keys[i], i))
+                    yield pd.DataFrame({"dataset": [d], "rep": [rep], "v": [values[order].tobytes()]})
+
+    spark = people.sparkSession
+    rows = spark.range(1, replicates + 1, 1, min(replicates, 64)).mapInPandas(draw, "dataset int, rep long, v binary").orderBy("dataset", "rep").toPandas()
+    return {d: (subjects, np.stack([values, *[np.frombuffer(v) for v in rows.loc[rows["dataset"] == d, "v"]]])) for d, (subjects, values) in lists.items()}
 
 
 def block_correlations(images: DataFrame, draws: dict, emit, shape: str, block: int = VOXELS) -> DataFrame:
