@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The six characters between words, for TRIM.
 BLANKS = " \t\n\x0b\x0c\r"
+SLICE = 1000  # texts of a batch that are in Python at a time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +63,11 @@ def by_text(docs: DataFrame, columns: Callable[[list[str | None]], list], shape:
     arrow = [(f.name, to_arrow(f.dataType)) for f in types.fields]
 
     def run(batches):
-        for batch in batches:
-            made = columns(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, (_, t) in zip(made, arrow, strict=True)]], names=["doc_id", *[n for n, _ in arrow]])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                made = columns(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, (_, t) in zip(made, arrow, strict=True)]], names=["doc_id", *[n for n, _ in arrow]])
 
     return docs.mapInArrow(run, f"doc_id {kind}, {shape}")
 

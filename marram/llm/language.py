@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text
+from .common import SLICE, by_text
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -192,7 +192,7 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(a, SLICE) for whole in batches for a in range(0, whole.num_rows, SLICE)):
             langs, scores = identify(batch.column(at).to_pylist(), net)
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
 

@@ -29,7 +29,7 @@ WINDOW = 4096
 END = 2
 SHARD_TOKENS = 1_000_000
 TASK_SHARDS = 3  # shards that a task lays out one after another, about
-MEMO = 1_000_000
+MEMO = 400_000
 K1, B = 1.2, 0.75
 VOCABULARY = "word_bpe_49k.json"
 #: Fixed value: the word pattern of that vocabulary's pre-tokenizer.
@@ -131,8 +131,8 @@ class Index:
         for i, ids in enumerate(docs):
             t, c = np.unique(ids, return_counts=True)
             self.terms.append(t)
-            tf.append(c)
-            owner.append(np.full(len(t), i))
+            tf.append(c.astype(np.int32))
+            owner.append(np.full(len(t), i, np.int32))
         terms, tf, owner = np.concatenate(self.terms), np.concatenate(tf), np.concatenate(owner)
         order = np.argsort(terms, kind="stable")
         self.owner, tf = owner[order], tf[order]
