@@ -38,6 +38,7 @@ DIRECT = 4096  # members of a bucket that are compared without splitting it
 SAMPLE = 8000, 200_000  # documents, least and most, that tell common shingles from others
 COMMON = 8  # documents of the sample that hold a common shingle
 FAR, FAR_SHORT, SHORT = 40, 48, 16  # bits of 128 that fingerprints of similar sets differ in at most; that of short sets
+FEW = 1_000_000
 BLOCK = 200_000  # hashes of a family that are held together
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -336,6 +337,12 @@ def candidate_ties(nodes: DataFrame, least: float) -> DataFrame:
     return ties.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """The ids, to be broadcast if they were counted to be at most ``FEW``; texts joined to more of them are shuffled."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, h): the hashes of the shingle sets of nodes (node, low), taken from the documents that lead them."""
 
@@ -344,7 +351,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             sets = [shingle_set(t if isinstance(t, str) else None, size) for t in frame["text"]]
             yield pd.DataFrame({"node": np.array([set_key(h) for h in sets], np.int64), "h": [h.tobytes() for h in sets]})
 
-    led = docs.select("doc_id", "text").join(nodes.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    led = docs.select("doc_id", "text").join(few(nodes.select(F.col("low").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
     return led.mapInPandas(run, "node long, h binary").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("h").alias("h"))
 
 
@@ -428,5 +435,5 @@ def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     share its fate. Rows without an id stay. Null, empty and blank texts are one group. No rows give no rows; other
     columns may have any name.
     """
-    got = similar_groups(docs.where("doc_id is not null"), size, least).where("doc_id <> component_id").select("doc_id").distinct()
+    got = few(similar_groups(docs.where("doc_id is not null"), size, least).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(got, "doc_id", "left_anti").select(*docs.columns)
