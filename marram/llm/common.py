@@ -51,12 +51,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts hold at most ``SLICE`` rows: the session's limit counts rows, and texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= SLICE:
+        spark.conf.set(key, str(SLICE))
+
+
 def by_text(docs: DataFrame, columns: Callable[[list[str | None]], list], shape: str) -> DataFrame:
     """doc_id as it came, in any type, and the columns (arrays or lists, one value a row) made of the texts.
 
     Ids stay in Arrow, so nulls beside them do not change them.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     types = spark.createDataFrame([], shape).schema

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, by_text
+from .common import SLICE, by_text, short_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -190,6 +190,7 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     if net is None:
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
     at = docs.columns.index("text")
+    short_batches(docs.sparkSession)
 
     def run(batches):
         for batch in (whole.slice(a, SLICE) for whole in batches for a in range(0, whole.num_rows, SLICE)):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, to_arrow
+from .common import cut, short_batches, to_arrow
 
 WINDOW = 4096
 END = 2
@@ -248,6 +248,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
     ignored, whatever their names; no rows give no rows. ``path`` is the vocabulary file; by default the public one.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     code = token_code(path)
     rows = cut(tokenized(docs, path))
     counts = rows.groupBy("lead").agg(F.sum("n").alias("n")).orderBy("lead").collect()  # a row per token id at most
