@@ -29,7 +29,7 @@ WINDOW = 4096
 END = 2
 SHARD_TOKENS = 1_000_000
 TASK_SHARDS = 3  # shards that a task lays out one after another, about
-MEMO = 400_000
+MEMO = 1_000_000
 K1, B = 1.2, 0.75
 VOCABULARY = "word_bpe_49k.json"
 #: Fixed value: the word pattern of that vocabulary's pre-tokenizer.
