@@ -29,7 +29,7 @@ WINDOW = 4096
 END = 2
 SHARD_TOKENS = 1_000_000
 TASK_SHARDS = 3  # shards that a task lays out one after another, about
-MEMO = 1_000_000
+MEMO = 600_000
 K1, B = 1.2, 0.75
 VOCABULARY = "word_bpe_49k.json"
 #: Fixed value: the word pattern of that vocabulary's pre-tokenizer.
@@ -264,6 +264,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
     id_type = to_arrow(docs.schema["doc_id"].dataType)
 
     def run(batches):
+        _encoders.clear()  # a worker that has tokenized before would keep its memo beside the index
         ids, held, tokens, shard, first = [], [], 0, None, 0
 
         def emit():
