@@ -127,18 +127,14 @@ class Index:
     """BM25 postings of one shard: for each token the documents that hold it and what it adds to their score."""
 
     def __init__(self, docs: list[np.ndarray]):
-        self.terms, tf, owner = [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            self.terms.append(t)
-            tf.append(c.astype(np.int32))
-            owner.append(np.full(len(t), i, np.int32))
-        terms, tf, owner = np.concatenate(self.terms), np.concatenate(tf), np.concatenate(owner)
+        size = np.array([len(d) for d in docs], np.int64)
+        held, tf = np.unique(np.repeat(np.arange(len(docs)) << 32, size) | np.concatenate(docs), return_counts=True)
+        owner, terms = held >> 32, held & 0xFFFFFFFF
+        self.terms = np.split(terms, np.searchsorted(owner, np.arange(1, len(docs))))
         order = np.argsort(terms, kind="stable")
-        self.owner, tf = owner[order], tf[order]
-        self.vocabulary, start, df = np.unique(terms[order], return_index=True, return_counts=True)
+        self.owner, tf, terms = owner[order].astype(np.int32), tf[order], terms[order]
+        self.vocabulary, start, df = np.unique(terms, return_index=True, return_counts=True)
         self.start, self.end = start, start + df
-        size = np.array([len(d) for d in docs], np.float64)
         idf = np.repeat(np.log1p((len(docs) - df + 0.5) / (df + 0.5)), df)
         norm = K1 * (1 - B + B * size[self.owner] / max(1.0, size.mean()))
         self.weight = idf * tf * (K1 + 1) / (tf + norm)
