@@ -13,6 +13,7 @@ from marram.functions.columns import hash_order, pearson, r6
 
 DRAWS = 50_000_000  # numbers of a matrix of draws that may travel to the tasks
 VOXELS = 4096  # voxels of a block
+FEW = 500_000  # rows drawn from that are broadcast
 
 
 def shuffled(subjects: DataFrame, replicates: int, block: str, value: str, seed: str) -> DataFrame:
@@ -122,14 +123,19 @@ def similarity_permutation(images: DataFrame, replicates: int, seed: str = "sim"
 
 def bootstrap(df: DataFrame, key: str, replicates: int, seed: str) -> DataFrame:
     """(rep, draw, and the row drawn): n draws with replacement in every replicate, row = hash(seed, rep, draw) mod n in
-    the order of the key. For tables of subjects: rows times replicates are made."""
+    the order of the key. For tables of subjects: rows times replicates are made.
+
+    The draws are a range of counted length, dealt to all tasks: made by explode they would look like one row to the
+    planner, which then broadcasts them. Up to ``FEW`` rows travel to the draws; of more, both sides are shuffled.
+    """
     from marram.functions.transforms import running
 
+    n = df.count()
     placed = running(df.withColumn("_one", F.lit(1)), key, "_one", "_i").drop("_one")
-    n = placed.agg(F.count(F.lit(1)).alias("n"))
-    draws = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).select("n", "rep", F.explode(F.expr("sequence(1L, n)")).alias("draw"))
+    places = df.sparkSession.range(n * replicates)
+    draws = places.select((F.expr(f"id div {max(1, n)}") + 1).cast("int").alias("rep"), (F.col("id") % max(1, n) + 1).alias("draw"))
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
-    return draws.withColumn("_i", number % F.col("n")).drop("n").join(placed, "_i").drop("_i")
+    return draws.withColumn("_i", number % max(1, n)).join(F.broadcast(placed) if n <= FEW else placed, "_i").drop("_i")
 
 
 def bootstrap_summary(draws: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006

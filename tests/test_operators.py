@@ -54,3 +54,13 @@ def test_entry_runs(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bootstrap_draws_are_dealt_and_the_same_either_way(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i)) for i in range(40)], "k long, v double")
+    few = resampling.bootstrap(df, "k", 3, "s")
+    plan = few._jdf.queryExecution().toString()
+    assert "Range (0, 120" in plan and "explode" not in plan
+    monkeypatch.setattr(resampling, "FEW", 0)
+    assert sorted(few.collect()) == sorted(resampling.bootstrap(df, "k", 3, "s").collect()) and few.count() == 120
+    assert resampling.bootstrap(df.limit(0), "k", 3, "s").count() == 0
