@@ -23,8 +23,13 @@ def moments(df: DataFrame, x: str, group: str, a, b) -> DataFrame:
 
 
 def welch(df: DataFrame, x: str, group: str, a, b) -> DataFrame:
+    return welch_from(moments(df, x, group, a, b))
+
+
+def welch_from(summary: DataFrame) -> DataFrame:
+    """Welch's t from means m1, m2, variances v1, v2 and sizes n1, n2."""
     s1, s2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
-    got = moments(df, x, group, a, b).select(ratio(F.col("m1") - F.col("m2"), F.sqrt(s1 + s2)).alias("t"), ratio((s1 + s2) * (s1 + s2), s1 * s1 / (F.col("n1") - 1) + s2 * s2 / (F.col("n2") - 1)).alias("df"))
+    got = summary.select(ratio(F.col("m1") - F.col("m2"), F.sqrt(s1 + s2)).alias("t"), ratio((s1 + s2) * (s1 + s2), s1 * s1 / (F.col("n1") - 1) + s2 * s2 / (F.col("n2") - 1)).alias("df"))
     return got.withColumn("p", dist.t_p(F.col("t"), F.col("df")))
 
 

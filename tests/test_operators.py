@@ -104,3 +104,6 @@ def test_image_cosines_meet_by_blocks(spark, monkeypatch, tile):
         one, two = flat(got), flat(want)
         assert one.keys() == two.keys() and got.count() == len(one)
         assert all((one[k] is None) == (c is None) and (c is None or abs(one[k] - c) < 1e-12) for k, c in two.items())
+        m = similarity.image_cosine_moments(images, other).first()
+        known = [c for c in two.values() if c is not None]
+        assert m["n"] == len(known) and np.allclose([m["mean"], m["var"]], [np.mean(known), np.var(known, ddof=1)])
