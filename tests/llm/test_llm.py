@@ -462,3 +462,25 @@ def test_a_hot_row_spreads_over_cells(spark, monkeypatch):
     got = sharding.shard_documents(df, 4).collect()
     by = {s: sorted(r["slot"] for r in got if r["shard"] == s) for s in range(4)}
     assert len(got) == 1500 and all(v == list(range(375)) for v in by.values())
+
+
+def test_quality_uses_all_trusted_rows_and_all_calibration_rows(spark):
+    labels = spark.range(40_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(40_000))
+    assert quality.trusted_ids(labels).count() == 40_000 - held and quality.trusted_ids(labels, calibration=True).count() == held
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_quality_is_the_same_with_ids_shuffled(spark, docs, monkeypatch, few):
+    labels = spark.createDataFrame([(7, 1, 0), (8, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    want = sorted(map(str, quality.score(docs, labels).collect()))
+    monkeypatch.setattr(quality, "FEW", few)
+    assert sorted(map(str, quality.score(docs, labels).collect())) == want
+
+
+@pytest.mark.parametrize("scores", [[], [0.0], [-0.0, -0.0, -3.0], [float(x) for x in -np.random.default_rng(3).gamma(0.1, 1, 5000)], [-1e-300, 0.0] * 200])
+def test_kth_score_is_the_sorted_one(spark, monkeypatch, scores):
+    monkeypatch.setattr(quality, "BINS", 16)
+    df = spark.createDataFrame([(x,) for x in scores], "score double")
+    for loss in (0.0, 0.02, 0.5, 0.999):
+        assert quality.kth_score(df, loss) == (sorted(scores)[int(len(scores) * loss)] if scores else float("-inf"))
