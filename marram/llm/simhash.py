@@ -13,10 +13,11 @@ bucket is split again on the bits in which its members differ.
 The distances to a block's pivots determine the block's bits and are determined by them, so the tables are kept
 packed, as those bits: what prunes is agreement in two blocks, then four full-width pivots inside a bucket.
 
-The pipeline's stage asks for a Jaccard similarity of 0.8 of the sets of five-word shingles. Fingerprints of such
-pairs differ in about 15 % of their bits, and at that radius neither blocks nor pivots rule anything out. So the
-stage (``similar_groups``) takes its candidates from a prefix filter over the shingles, which misses no pair, lets
-fingerprints of 128 bits discard them (``FAR``), and verifies the survivors on the sets.
+The pipeline's stage asks for a Jaccard similarity of 0.8 of the sets of five-word shingles. It searches the SimHash
+of every set with the pivot tables as above (``pivot_ties``). Fingerprints of pairs at 0.8 differ in about 15 % of
+their bits, and at that radius neither blocks nor pivots rule anything out. So the stage (``similar_groups``) adds
+candidates from a prefix filter over the shingles, which misses no pair, and lets fingerprints of 128 bits discard
+those (``FAR``). Whatever finds a candidate, it is verified on the sets.
 """
 
 from __future__ import annotations
@@ -337,6 +338,16 @@ def candidate_ties(nodes: DataFrame, least: float) -> DataFrame:
     return ties.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def pivot_ties(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs of nodes that connect all whose SimHash (column one) differs in at most ``radius`` bits, found by
+    the pivot tables; nodes with one SimHash are tied to the least of them."""
+    prints = cut(nodes.groupBy(F.col("one").alias("fp")).agg(F.min("node").alias("first")))
+    same = nodes.join(prints, nodes["one"] == prints["fp"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, two = (prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")) for c in "ab")
+    near = links(prints, radius).join(one, "a").join(two, "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    return same.unionByName(near)
+
+
 def few(ids: DataFrame) -> DataFrame:
     """The ids, to be broadcast if they were counted to be at most ``FEW``; texts joined to more of them are shuffled."""
     ids = cut(ids)
@@ -359,7 +370,7 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
     """doc_id, node and component_id (smallest doc_id reachable over links) of every row; a link joins two texts whose
     sets of shingles have a Jaccard similarity of at least ``least``.
 
-    Texts with equal sets are one node. Two sets at ``least`` share one of the first (1 - least) n + 1 shingles of
+    Texts with equal sets are one node. Nodes with a near SimHash are tied by the pivot tables. Two sets at ``least`` share one of the first (1 - least) n + 1 shingles of
     each in any common order (prefix filter), so those are dealt by hash. In a bucket of any size sizes and
     fingerprints rule pairs out, and a spanning forest of the others ties nodes into families; inside a family every
     pair meets on its sets. No rows give no rows; texts without words are alike; null ids are not allowed here.
@@ -375,7 +386,8 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
     rows = cut(by_text(docs, columns, "node long, n long, one long, two long, prefix array<long>"))
     shared = [F.first(c).alias(c) for c in ("n", "one", "two", "prefix")]
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("low"), *shared)
-    links = family_links(docs, nodes.select("node", "low", "n"), cut(candidate_ties(nodes, least)), size, least)
+    ties = cut(candidate_ties(nodes, least).unionByName(pivot_ties(nodes)))
+    links = family_links(docs, nodes.select("node", "low", "n"), ties, size, least)
     lows = nodes.select("node", "low")
     found = components(lows, links)
     roots = lows.join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))

@@ -484,3 +484,33 @@ def test_kth_score_is_the_sorted_one(spark, monkeypatch, scores):
     df = spark.createDataFrame([(x,) for x in scores], "score double")
     for loss in (0.0, 0.02, 0.5, 0.999):
         assert quality.kth_score(df, loss) == (sorted(scores)[int(len(scores) * loss)] if scores else float("-inf"))
+
+
+def test_near_dedup_searches_fingerprints_with_the_pivot_tables(spark, monkeypatch):
+    base = [f"w{i}" for i in range(1500)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join([*base[:-1], "other"]), " ".join(f"v{i}" for i in range(90))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    ones = [simhash.wide_fingerprint(h)[0] for h in sets]
+    assert (ones[0] ^ ones[1]).bit_count() <= 3 and (ones[0] ^ ones[2]).bit_count() <= 3
+    nodes = spark.createDataFrame([(i, int(np.uint64(x).view(np.int64))) for i, x in enumerate([*ones, ones[3]])], "node long, one long")
+    assert jaccard_roots(5, [(r["a"], r["b"]) for r in simhash.pivot_ties(nodes).collect()]) == [0, 0, 0, 3, 3]
+    nothing = lambda nodes, least: nodes.select(nodes["node"].alias("a"), nodes["node"].alias("b")).limit(0)
+    monkeypatch.setattr(simhash, "candidate_ties", nothing)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(df).collect()) == [0, 3]
+
+
+def test_equal_fingerprints_of_unlike_texts_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda hashes: (7, 7))
+    texts = [" ".join(f"w{b}x{i}" for i in range(60)) for b in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_first(df).count() == 3
+
+
+def jaccard_roots(n, pairs):
+    """The smallest number reachable over the pairs."""
+    low = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
